@@ -2,18 +2,20 @@
 
 Texts with the same set of shingles form one class at once; only one representative of each goes on. A fingerprint
 (one bit of each of 128 minima) turns similarity into a Hamming distance. One tree of all texts could neither be broadcast nor
-prune at these radii, so trees are built per shard: with shingles ordered by rarity, two texts of similarity t must share
-a shingle among the first n - ceil(t n) + 1 of each (prefix filter), so every prefix shingle is a shard. In a shard a BK-tree
-keeps children by their integer Hamming distance to the parent and a query follows only the edges within the radius. The
-radius lies five standard deviations above the distance expected at the threshold. What the trees return is verified on
-the shingles themselves. Shards of more than BLOCK texts are cut into blocks, a tree each, and every text of the shard
-queries all of them: no group is collected whole.
+prune at these radii, so trees are built per shard: in any order of all shingles, two texts of similarity t share
+COMMON of the first n - ceil(t n) + COMMON of each (prefix filter), so every prefix shingle is a shard. The order is by
+rarity, read from a sketch of counts over all texts: of fixed size, and as good as exact counts for the result, since any
+order is right. In a shard a BK-tree keeps children by their integer Hamming distance to the parent and a query follows only
+the edges within the radius, four standard deviations above the distance expected at the threshold. Pairs found in
+COMMON shards are verified on the shingles themselves. Shards of more than BLOCK texts are cut into blocks, a tree each,
+and every text of the shard queries all of them: no group is collected whole.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,10 +24,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirework.session import materialize
+from quirework.session import broadcast_if_small, materialize
 
 WIDTH, SIMILARITY, LEAST_WORDS = 3, 0.5, 30
-PLANES, BLOCK, FILTER_BITS = 128, 2000, 1 << 24
+PLANES, BLOCK, COMMON = 128, 2000, 3
+#: Buckets of the sketch and pieces it travels in.
+SKETCH, PIECES = 1 << 22, 64
 HASH_BITS = 48
 _WORD = re.compile(r"[^\W_]+")
 _rng = np.random.default_rng(20240229)
@@ -35,9 +39,9 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 
 
 def radius(similarity: float, planes: int = PLANES) -> int:
-    """Five standard deviations above the distance expected of a pair at the threshold."""
+    """Four standard deviations above the distance expected of a pair at the threshold."""
     p = (1 - similarity) / 2
-    return math.ceil(planes * p + 5 * math.sqrt(planes * p * (1 - p)))
+    return math.ceil(planes * p + 4 * math.sqrt(planes * p * (1 - p)))
 
 
 class Shingler:
@@ -117,65 +121,69 @@ class BKTree:
                 stack += [c for e, c in node[2].items() if d - r <= e <= d + r]
 
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
+def classes(texts: DataFrame, key: str = "ldu_id", text: str = "content", width: int = WIDTH, least_words: int = LEAST_WORDS) -> tuple[DataFrame, np.ndarray]:
+    """(id, c1, c2, n): the class of each text by its set of n shingles, and the sketch of how often shingles occur.
 
-
-def classes(texts: DataFrame, key: str = "ldu_id", text: str = "content", width: int = WIDTH, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(id, c1, c2, n): the class of each text by its set of n shingles; texts of fewer than least_words words and null keys have none."""
+    Texts of fewer than least_words words and null keys have no class. One pass gives both.
+    """
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cut = Shingler(width, least_words)
+        count = np.zeros(SKETCH, np.uint32)
         for pdf in it:
             out = []
+            sets = []
             for k, t in zip(pdf["id"], pdf["t"], strict=True):
                 s = cut(t)
                 if s is not None:
                     h = xxhash.xxh3_128_intdigest(s.tobytes())
-                    out.append((k, (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63), len(s)))
-            yield pd.DataFrame(out, columns=["id", "c1", "c2", "n"])
+                    out.append((k, (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63), len(s), -1, None))
+                    sets.append(s)
+            if sets:
+                at, n = np.unique(np.concatenate(sets) & np.uint64(SKETCH - 1), return_counts=True)
+                count[at] += n.astype(np.uint32)
+            yield pd.DataFrame(out, columns=["id", "c1", "c2", "n", "piece", "counts"])
+        size = SKETCH // PIECES
+        rows = [(0, 0, 0, 0, i, zlib.compress(part.tobytes(), 1)) for i in range(PIECES) if (part := count[i * size : (i + 1) * size]).any()]
+        yield pd.DataFrame(rows, columns=["id", "c1", "c2", "n", "piece", "counts"])
 
     kind = texts.schema[key].dataType.simpleString()
     # A word and the mark after it take two characters at least.
-    return texts.select(F.col(key).alias("id"), F.col(text).alias("t")).filter("id IS NOT NULL").filter(F.length("t") >= 2 * least_words - 1).mapInPandas(run, f"id {kind}, c1 bigint, c2 bigint, n int").distinct()
+    both = texts.select(F.col(key).alias("id"), F.col(text).alias("t")).filter("id IS NOT NULL").filter(F.length("t") >= 2 * least_words - 1).mapInPandas(run, f"id {kind}, c1 bigint, c2 bigint, n int, piece int, counts binary")
+    both = materialize(both, "classes")
+    return both.filter("piece = -1").select("id", "c1", "c2", "n").distinct(), _sketch(both.filter("piece >= 0").select("piece", "counts"))
 
 
-def representatives(members: DataFrame, texts: DataFrame, key: str = "ldu_id", text: str = "content") -> DataFrame:
-    """(rep, t): the least key of every class with its text."""
-    reps = members.groupBy("c1", "c2").agg(F.min("id").alias("rep")).select("rep")
-    return texts.select(F.col(key).alias("rep"), F.col(text).alias("t")).join(reps, "rep", "left_semi").groupBy("rep").agg(F.max("t").alias("t"))
+def _sketch(pieces: DataFrame) -> np.ndarray:
+    """Counts by bucket, summed piece by piece as the rows come by; PIECES rows reach the driver, SKETCH numbers in all."""
 
+    def add(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[int, np.ndarray] = {}
+        for pdf in it:
+            for i, c in zip(pdf["piece"], pdf["counts"], strict=True):
+                part = np.frombuffer(zlib.decompress(c), np.uint32)
+                total[i] = total[i] + part if i in total else part.astype(np.uint64)
+        # Six bits of mantissa are enough for an order; one still means one.
+        yield pd.DataFrame({"piece": list(total), "counts": [zlib.compress(np.where(v < 64, v, 64 + 8 * np.log2(np.maximum(v, 64) / 64)).clip(0, 255).astype(np.uint8).tobytes(), 1) for v in total.values()]})
 
-def _short(x: np.ndarray) -> np.ndarray:
-    return (x >> np.uint64(64 - HASH_BITS)).astype(np.int64)
+    out = np.zeros(SKETCH, np.uint8)
+    size = SKETCH // PIECES
+    for r in pieces.repartition("piece").mapInPandas(add, "piece int, counts binary").toLocalIterator():
+        out[r["piece"] * size : (r["piece"] + 1) * size] = np.frombuffer(zlib.decompress(r["counts"]), np.uint8)
+    return out
 
 
-def _bitmap(tokens: DataFrame) -> bytes:
-    """Bits of the tokens that occur twice or more: FILTER_BITS in all, however many there are."""
-    p = F.col("h").bitwiseAND(F.lit(FILTER_BITS - 1))
-    rows = tokens.select(p.alias("p")).groupBy(F.floor(F.col("p") / 32768).alias("b")).agg(F.expr("bitmap_construct_agg(p % 32768)").alias("m")).toLocalIterator()
-    out = bytearray(FILTER_BITS // 8)
-    for r in rows:
-        out[int(r["b"]) * 4096 : int(r["b"]) * 4096 + 4096] = bytes(r["m"])
-    return bytes(out)
+def representatives(members: DataFrame, texts: DataFrame, key: str = "ldu_id", text: str = "content") -> DataFrame:
+    """(rep, t): the least key of every class with its text."""
+    reps = members.groupBy("c1", "c2").agg(F.min("id").alias("rep")).select("rep")
+    return texts.select(F.col(key).alias("rep"), F.col(text).alias("t")).join(reps, "rep", "left_semi").groupBy("rep").agg(F.max("t").alias("t"))
 
 
-def candidate_pairs(reps: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, least_words: int = LEAST_WORDS, block: int = BLOCK) -> DataFrame:
-    """(a, b), a < b, distinct: representatives that share a prefix shingle, by BK-tree within the radius and by length."""
+def candidate_pairs(reps: DataFrame, sketch: np.ndarray, similarity: float = SIMILARITY, width: int = WIDTH, least_words: int = LEAST_WORDS, block: int = BLOCK, common: int = COMMON) -> DataFrame:
+    """(a, b), a < b: representatives that meet in at least common shards, by BK-tree within the radius and by length."""
     kind = reps.schema["rep"].dataType.simpleString()
 
-    def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cut = Shingler(width, least_words)
-        for pdf in it:
-            sets = [s for t in pdf["t"] if (s := cut(t)) is not None]
-            if sets:
-                h, n = np.unique(_short(np.concatenate(sets)), return_counts=True)
-                yield pd.DataFrame({"h": h, "df": n.astype(np.int32)})
-
-    tokens = materialize(reps.select("t").mapInPandas(count, "h bigint, df int").groupBy("h").agg(F.sum("df").alias("df")).filter("df > 1"), "tokens")
-    bits = np.frombuffer(_bitmap(tokens), np.uint8)
-
-    def sketch(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def deal(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cut = Shingler(width, least_words)
         for pdf in it:
             keys, sets = [], []
@@ -187,20 +195,29 @@ def candidate_pairs(reps: DataFrame, similarity: float = SIMILARITY, width: int
             if not sets:
                 continue
             f1, f2 = fingerprints(sets)
-            kept = []
+            taken, sizes = [], []
             for s in sets:
-                h = _short(s)
-                at = h & (FILTER_BITS - 1)
-                kept.append(h[(bits[at >> 3] >> (at & 7)) & 1 > 0])
-            yield pd.DataFrame({"rep": keys, "n": np.array([len(s) for s in sets], np.int32), "f1": _signed(f1), "f2": _signed(f2), "hs": kept})
-
-    docs = reps.mapInPandas(sketch, f"rep {kind}, n int, f1 bigint, f2 bigint, hs array<bigint>").select("rep", "n", "f1", "f2", F.explode("hs").alias("h"))
-    ranked = docs.join(tokens, "h").groupBy("rep", "n", "f1", "f2").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("hs"))
-    # Shingles that occur once come first in the order; they use up places of the prefix and match nothing.
-    take = F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("hs"))
-    shards = ranked.filter(take > 0).select("rep", "n", "f1", "f2", F.explode(F.slice("hs", F.lit(1), take.cast("int"))).alias("x")).select("rep", "n", "f1", "f2", "x.h", "x.df")
-    mine = F.pmod(F.xxhash64("rep"), F.ceil(F.col("df") / block)).cast("int")
-    dealt = shards.withColumn("own", mine).withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("own")))).select("h", "blk", (F.col("blk") == F.col("own")).alias("node"), "rep", "n", "f1", "f2")
+                n = len(s)
+                prefix = min(n, n - math.ceil(similarity * n - 1e-9) + common)
+                c = sketch[s & np.uint64(SKETCH - 1)]
+                # Ties of the count are broken by the hash, the same for all texts; what occurs once meets nothing.
+                order = np.lexsort((s, c))[:prefix]
+                order = order[c[order] > 1]
+                taken.append(s[order])
+                sizes.append(len(order))
+            h = np.concatenate(taken)
+            row = np.repeat(np.arange(len(sets)), sizes)
+            c = sketch[h & np.uint64(SKETCH - 1)].astype(np.int64)
+            most = np.where(c < 64, c, 64 * 2 ** ((c - 63) / 8.0))
+            blocks = np.maximum(np.ceil(most / block), 1).astype(np.int64)
+            mix = np.array([xxhash.xxh3_64_intdigest(str(k)) >> 1 for k in keys], np.int64)[row]
+            own = mix % blocks
+            again = np.repeat(np.arange(len(h)), own + 1)
+            at = np.arange(len(again)) - np.repeat(np.r_[0, np.cumsum(own + 1)[:-1]], own + 1)
+            who = row[again]
+            n = np.array([len(s) for s in sets], np.int32)
+            yield pd.DataFrame({"h": (h >> np.uint64(64 - HASH_BITS)).astype(np.int64)[again], "place": (at * 2 + (at < own[again])).astype(np.int32), "rep": np.array(keys)[who], "n": n[who], "f1": f1.view(np.int64)[who], "f2": f2.view(np.int64)[who]})
+
     r = radius(similarity)
 
     def trees(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -208,11 +225,18 @@ def candidate_pairs(reps: DataFrame, similarity: float = SIMILARITY, width: int
         for pdf in it:
             a: list = []
             b: list = []
-            halves = zip(pdf["f1"].to_numpy().view(np.uint64).tolist(), pdf["f2"].to_numpy().view(np.uint64).tolist(), strict=True)
-            for h, blk, node, rep, n, (x, y) in zip(pdf["h"].tolist(), pdf["blk"].tolist(), pdf["node"].tolist(), pdf["rep"].tolist(), pdf["n"].tolist(), halves, strict=True):
+            shard = pdf["h"].to_numpy() * 1024 + (pdf["place"].to_numpy() >> 1) % 1024
+            same = np.r_[False, shard[1:] == shard[:-1]]
+            # Rows alone in their shard have nothing to meet; the first and last may go on in another batch.
+            busy = same | np.r_[same[1:], True]
+            busy[0] = True
+            part = pdf[busy]
+            halves = zip(part["f1"].to_numpy().view(np.uint64).tolist(), part["f2"].to_numpy().view(np.uint64).tolist(), strict=True)
+            for h, place, rep, n, (x, y) in zip(part["h"].tolist(), part["place"].tolist(), part["rep"].tolist(), part["n"].tolist(), halves, strict=True):
                 fp = x << 64 | y
-                if group != (h, blk):
-                    group, tree, alone = (h, blk), None, (fp, rep, n)
+                node = not place & 1
+                if group != (h, place >> 1):
+                    group, tree, alone = (h, place >> 1), None, (fp, rep, n)
                     if not node:
                         tree, alone = BKTree(), None
                     continue
@@ -225,15 +249,19 @@ def candidate_pairs(reps: DataFrame, similarity: float = SIMILARITY, width: int
                         b.append(max(rep, other))
                 if node:
                     tree.add(fp, (rep, n))
-            yield pd.DataFrame({"a": a, "b": b}).drop_duplicates().astype({"a": pdf["rep"].dtype, "b": pdf["rep"].dtype})
+            yield pd.DataFrame({"a": a, "b": b}).astype({"a": pdf["rep"].dtype, "b": pdf["rep"].dtype})
 
-    # Within a shard and block the nodes come first, then the texts of later blocks that query the tree.
-    return dealt.repartition("h", "blk").sortWithinPartitions("h", "blk", F.col("node").desc(), "rep").mapInPandas(trees, f"a {kind}, b {kind}").distinct()
+    dealt = reps.mapInPandas(deal, f"h bigint, place int, rep {kind}, n int, f1 bigint, f2 bigint")
+    # Within a shard and block the nodes (even places) come first, then the texts of later blocks that query the tree.
+    met = dealt.repartition(F.col("h"), F.floor(F.col("place") / 2)).sortWithinPartitions("h", "place", "rep").mapInPandas(trees, f"a {kind}, b {kind}")
+    return met.groupBy("a", "b").agg(F.count("*").alias("c")).filter(F.col("c") >= common).select("a", "b")
 
 
 def verified_pairs(pairs: DataFrame, reps: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, least_words: int = LEAST_WORDS) -> DataFrame:
     """(a, b, similarity): pairs whose shingles are similar enough, counted exactly."""
     kind = reps.schema["rep"].dataType.simpleString()
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    reps = materialize(reps.join(broadcast_if_small(ids, 200_000), "rep", "left_semi"), "paired")
     with_text = pairs.join(reps.select(F.col("rep").alias("a"), F.col("t").alias("ta")), "a").join(reps.select(F.col("rep").alias("b"), F.col("t").alias("tb")), "b")
 
     def verify(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -254,10 +282,10 @@ def verified_pairs(pairs: DataFrame, reps: DataFrame, similarity: float = SIMILA
 
 def near_duplicates(texts: DataFrame, key: str = "ldu_id", text: str = "content", similarity: float = SIMILARITY, width: int = WIDTH, least_words: int = LEAST_WORDS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """members (id, rep, n) and links (a, b, similarity) between representatives. Null and short texts are in neither."""
-    found = materialize(classes(texts, key, text, width, least_words), "classes")
+    found, sketch = classes(texts, key, text, width, least_words)
     members = found.join(found.groupBy("c1", "c2").agg(F.min("id").alias("rep")), ["c1", "c2"]).select("id", "rep", "n")
     reps = materialize(representatives(found, texts, key, text), "reps")
-    pairs = candidate_pairs(reps, similarity, width, least_words, block)
+    pairs = materialize(candidate_pairs(reps, sketch, similarity, width, least_words, block), "pairs")
     return materialize(members, "members"), materialize(verified_pairs(pairs, reps, similarity, width, least_words), "links")
 
 
