@@ -54,7 +54,7 @@ def lookup(facts: DataFrame, questions: DataFrame) -> DataFrame:
 
     Questions are grouped by term first, so that equal terms are looked up once.
     """
-    q = questions.select("query_id", F.lower(F.element_at(F.filter(F.split(F.regexp_replace("query", r"\?+\s*$", ""), r"\s+"), lambda x: x != ""), -1)).alias("term"))
+    q = questions.select("query_id", F.lower(F.try_element_at(F.filter(F.split(F.regexp_replace("query", r"\?+\s*$", ""), r"\s+"), lambda x: x != ""), F.lit(-1))).alias("term"))
     terms = q.select("term").filter("term IS NOT NULL").distinct()
     hits = facts.select("id", F.lower("entity").alias("e"), "value").join(F.broadcast(terms) if len(terms.take(10_001)) <= 10_000 else terms, F.col("e").contains(F.col("term"))).groupBy("term").agg(F.min_by("value", "id").alias("value"))
     return q.join(hits, "term", "left").select("query_id", "term", "value")

@@ -75,7 +75,7 @@ def to_json(tree: DataFrame, titles: DataFrame) -> DataFrame:
 
     t = titles.select(F.col("doc_id").alias("grp"), F.col("section_id").alias("node"), "title")
     rows = tree.filter("NOT in_cycle").join(t, ["grp", "node"], "left").groupBy(F.col("grp").alias("doc_id")).agg(F.collect_list(F.struct("node", "parent", "lft", "title")).alias("rows"))
-    return rows.select("doc_id", F.udf(nest, "string")("rows").alias("json"))
+    return rows.select("doc_id", F.udf(nest, "string", useArrow=True)("rows").alias("json"))
 
 
 def from_json(trees: DataFrame, levels: int = 64) -> DataFrame:
