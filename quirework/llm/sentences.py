@@ -257,7 +257,7 @@ def _joined(texts: Iterable[str]) -> Iterator[tuple[str, str, str, bool, bool]]:
                 yield para[-24:], " ", following[:16], True, False
 
 
-def train(texts: list[str], rounds: int = 200, decay: float = 2e-4, least: int = 10, repeats: int = 2) -> Model:
+def train(texts: list[str], rounds: int = 200, decay: float = 12.0, least: int = 10, repeats: int = 2) -> Model:
     """The model from raw texts. Same texts, same model. Features seen in fewer than least places are left out: they would only remember places."""
     rows = [r for r in _joined(texts) if not r[4]]
     vocabulary: dict[str, int] = {}
@@ -265,6 +265,7 @@ def train(texts: list[str], rounds: int = 200, decay: float = 2e-4, least: int =
     often = Counter(f for x in named for f in x)
     ids = [[vocabulary.setdefault(f, len(vocabulary)) for f in x if often[f] >= least] for x in named]
     n, width = len(rows), max((len(x) for x in ids), default=1)
+    decay /= max(n, 1)  # a feature needs about as many places behind it, however large the sample
     size = len(vocabulary)
     grid = np.full((n, width), size, np.int64)
     for i, x in enumerate(ids):
