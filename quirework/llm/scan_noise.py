@@ -320,7 +320,7 @@ def _apply(text: str, running: list[str], fixes: dict[str, str]) -> str:
     def fix(m: re.Match) -> str:
         t = m.group()
         w = word(t)
-        if w in fixes:
+        if fixes.get(w):
             new = fixes[w]
             if t[:1].isupper() or (len(t) > 1 and t[1:2].isupper()):
                 new = new.upper() if t.upper() == t and len(t) > 1 and t[1:].upper() == t[1:] and any(c.isalpha() for c in t[1:]) else new[:1].upper() + new[1:]

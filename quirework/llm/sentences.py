@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 #: Bounds of the training sample: texts in all, and texts more that hold a script without terminators.
 SAMPLE, SAMPLE_BARE = 3000, 600
+#: Share of c from which an unlabelled place counts as a boundary while the model learns.
+FROM = 0.4
 
 # Terminators, closing marks and quotation marks by script.
 SPACED_END = ".!?…؟።۔।॥:;"
@@ -115,6 +117,14 @@ def blocks(text: str) -> Iterator[tuple[int, int, bool]]:
         at = after
 
 
+def _bare_near(paragraph: str, a: int, b: int) -> bool:
+    """Whether a space lies beside a script without terminators, numbers in between aside."""
+    if _BARE.match(paragraph, b):
+        return True
+    before = paragraph[max(0, a - 24) : a].rstrip("0123456789., ")
+    return _BARE.match(before[-1:]) is not None
+
+
 def candidates(paragraph: str) -> list[tuple[int, int, bool]]:
     """(start, end, inside_quotation) of the places where a sentence of the paragraph may end; a quotation left open hides nothing."""
     found, n = [], len(paragraph)
@@ -129,7 +139,7 @@ def candidates(paragraph: str) -> list[tuple[int, int, bool]]:
         found.append((a, b))
     if _BARE.search(paragraph):
         ends = {b for _, b in found}
-        found = sorted(found + [m.span() for m in _SPACE.finditer(paragraph) if m.start() not in ends])
+        found = sorted(found + [m.span() for m in _SPACE.finditer(paragraph) if m.start() not in ends and _bare_near(paragraph, *m.span())])
     if not found:
         return []
     quotes = [m.span() for m in _QUOTE.finditer(paragraph)] if any(c in paragraph for c in "\"«“„「『‹") else []
@@ -223,7 +233,7 @@ class Model:
             if listed:
                 continue
             para = text[a:b]
-            places = candidates(para)
+            places = [p for p in candidates(para) if p[1] < len(para)]
             for (_, e, _), tag in zip(places, self.tags(para, places), strict=True):
                 if tag:
                     nxt = e
@@ -245,7 +255,7 @@ def _joined(texts: Iterable[str]) -> Iterator[tuple[str, str, str, bool, bool]]:
         for i, para in enumerate(paras):
             following = paras[i + 1] if i + 1 < len(paras) else ""
             places = candidates(para)
-            tail = para[-1:] and re.match(f"[{BARE}]", para[-1]) is not None
+            tail = _BARE.search(para) is not None and not (places and places[-1][1] == len(para))
             at = 0
             for s, e, no in places:
                 before, at = para[max(at, s - 24) : s], e
@@ -257,7 +267,7 @@ def _joined(texts: Iterable[str]) -> Iterator[tuple[str, str, str, bool, bool]]:
                 yield para[-24:], " ", following[:16], True, False
 
 
-def train(texts: list[str], rounds: int = 200, decay: float = 12.0, least: int = 10, repeats: int = 2) -> Model:
+def train(texts: list[str], rounds: int = 200, decay: float = 6.0, least: int = 10, repeats: int = 2) -> Model:
     """The model from raw texts. Same texts, same model. Features seen in fewer than least places are left out: they would only remember places."""
     rows = [r for r in _joined(texts) if not r[4]]
     vocabulary: dict[str, int] = {}
@@ -280,7 +290,7 @@ def train(texts: list[str], rounds: int = 200, decay: float = 12.0, least: int =
         c[k] = float((own.sum() + 5 * c["*"]) / (len(own) + 5))
     sure = np.array([c.get(k, c["*"]) for k in keys])
     for _ in range(repeats):  # the labels found so far, learned again: what differs by chance evens out
-        w, bias, g = _fit(grid, ((g > 0.5 * sure) | joint).astype(float), size, rounds // 2, decay)
+        w, bias, g = _fit(grid, ((g > FROM * sure) | joint).astype(float), size, rounds // 2, decay)
         sure, c = np.ones(n), {"*": 1.0}
     weights = {f: float(w[i]) for f, i in vocabulary.items() if abs(w[i]) > 1e-3}
     model = Model(weights, float(bias), c, [[0.0, 0.0], [0.0, 0.0]])
@@ -312,7 +322,7 @@ def _moves(model: Model, texts: list[str]) -> list[list[float]]:
             if listed:
                 continue
             para = text[a:b]
-            places = candidates(para)
+            places = [p for p in candidates(para) if p[1] < len(para)]
             tags = model.tags(para, places)
             for x, z in zip([False, *tags], tags, strict=False):
                 counts[int(x), int(z)] += 1
