@@ -147,26 +147,37 @@ def _clean(text: Column) -> Column:
     return F.regexp_replace(c, r"(^|[^\d])'000\b", "$1 thousand ")
 
 
+def _let(value: Column, use) -> Column:
+    """use(value) with value computed once a row, however often use refers to it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _number(digits: Column) -> Column:
     """The number written in digits (no sign): one point is decimal, one comma before exactly three final digits groups, of two kinds of mark the last is decimal, repeated marks group."""
-    n = F.regexp_replace(digits, r"[ ']", "")
-    mantissa, exponent = F.regexp_extract(n, r"^([\d.,]*)", 1), F.regexp_extract(n, r"e([+-]?\d+)$", 1)
-    points, commas = F.length(F.regexp_replace(mantissa, r"[^.]", "")), F.length(F.regexp_replace(mantissa, r"[^,]", ""))
-    no_comma, no_point = F.regexp_replace(mantissa, ",", ""), F.regexp_replace(mantissa, r"\.", "")
-    comma_decimal = F.regexp_replace(no_point, ",", ".")
-    plain = (
-        F.when((points > 0) & (commas > 0), F.when(F.instr(F.reverse(mantissa), ".") < F.instr(F.reverse(mantissa), ","), no_comma).otherwise(comma_decimal))
-        .when(points > 1, no_point)
-        .when(commas > 1, no_comma)
-        .when(commas == 1, F.when(mantissa.rlike(r",\d{3}$"), no_comma).otherwise(comma_decimal))
-        .otherwise(mantissa)
-    )
-    return F.concat(plain, F.when(exponent != "", F.concat(F.lit("e"), exponent)).otherwise("")).try_cast("double")
+
+    def read(n: Column) -> Column:
+        exponent = F.regexp_extract(n, r"e([+-]?\d+)$", 1)
+
+        def plain(m: Column) -> Column:
+            points, commas = F.length(m) - F.length(F.replace(m, F.lit("."), F.lit(""))), F.length(m) - F.length(F.replace(m, F.lit(","), F.lit("")))
+            no_comma, no_point = F.replace(m, F.lit(","), F.lit("")), F.replace(m, F.lit("."), F.lit(""))
+            comma_decimal = F.replace(no_point, F.lit(","), F.lit("."))
+            return (
+                F.when((points > 0) & (commas > 0), F.when(F.instr(F.reverse(m), ".") < F.instr(F.reverse(m), ","), no_comma).otherwise(comma_decimal))
+                .when(points > 1, no_point)
+                .when(commas > 1, no_comma)
+                .when(commas == 1, F.when(m.rlike(r",\d{3}$"), no_comma).otherwise(comma_decimal))
+                .otherwise(m)
+            )
+
+        return F.concat(_let(F.regexp_extract(n, r"^([\d.,]*)", 1), plain), F.when(exponent != "", F.concat(F.lit("e"), exponent)).otherwise("")).try_cast("double")
+
+    return _let(F.translate(digits, " '", ""), read)
 
 
 def _phrase(text: Column) -> tuple[Column, Column]:
     """(scale, spelling) of a unit phrase in any order of its words."""
-    words = F.filter(F.split(F.trim(F.regexp_replace(text, r"[()\[\]\s]+", " ")), " "), lambda w: w != "")
+    words = F.filter(F.split(text, r"[()\[\]\s]+"), lambda w: w != "")
     scales = F.create_map(*[F.lit(x) for pair in SCALES.items() for x in pair])
     scale = F.aggregate(words, F.lit(1.0), lambda acc, w: acc * F.coalesce(scales[w], F.lit(1.0)))
     return scale, F.array_join(F.filter(words, lambda w: scales[w].isNull()), " ")
@@ -190,30 +201,34 @@ def parse_quantities(facts: DataFrame, value: str = "value", unit: str = "unit")
     scale_u, spell_u = _phrase(_clean(F.col(unit)))
     out = out.withColumns({"_sv": F.coalesce(F.when(F.col("_found").isNotNull(), scale_v), F.lit(1.0)), "_bv": F.coalesce(F.when(F.col("_found").isNotNull(), spell_v), F.lit("")), "_su": F.coalesce(scale_u, F.lit(1.0)), "_bu": F.coalesce(spell_u, F.lit(""))})
     scale = F.when(F.col("_bv") == "", F.col("_sv") * F.col("_su")).when((F.col("_sv") == 1.0) & (F.col("_bu") != ""), F.col("_su")).otherwise(F.col("_sv"))
-    number = F.when(F.col("_found").isNotNull(), F.when(negative, -_number(digits)).otherwise(_number(digits)))
+    value_of = _number(digits)
+    number = F.when(F.col("_found").isNotNull(), value_of * F.when(negative, -1.0).otherwise(1.0))
     return out.withColumns({"number": number, "scale": scale, "spelling": F.when(F.col("_bv") != "", F.col("_bv")).otherwise(F.col("_bu"))}).drop("_noted", "_found", "_sv", "_bv", "_su", "_bu")
 
 
 def normal_period(period: Column) -> Column:
     """One form: 2011, 2011-Q3 or 2011/12 (July to June); null for null, blank or unknown spellings."""
-    p = F.lower(F.trim(F.regexp_replace(F.regexp_replace(period, "[–−]", "-"), "[\\s ]+", " ")))
-    p = F.regexp_replace(p, r"^fy ?", "")
-    year = F.regexp_extract(p, r"(\d{4})", 1)
-    ranges = {"jan-mar": "1", "apr-jun": "2", "jul-sep": "3", "oct-dec": "4"}
-    month_quarter = F.regexp_extract(F.regexp_replace(p, r" ?- ?", "-"), r"^([a-z]{3})[a-z]*-([a-z]{3})[a-z]* \d{4}$", 0)
-    months = F.regexp_replace(F.regexp_extract(month_quarter, r"^([a-z-]+)", 1), r"([a-z]{3})[a-z]*", "$1")
-    quarter = F.coalesce(
-        F.nullif(F.regexp_extract(p, r"^(?:q([1-4])[ -/]?\d{4})$", 1), F.lit("")),
-        F.nullif(F.regexp_extract(p, r"^\d{4}[ -/]?q([1-4])$", 1), F.lit("")),
-        F.nullif(F.regexp_extract(p, r"^([1-4])(?:st|nd|rd|th) quarter(?: of)? \d{4}$", 1), F.lit("")),
-        F.create_map(*[F.lit(x) for pair in ranges.items() for x in pair])[months],
-    )
-    second = F.regexp_extract(p, r"^\d{4} ?[/-] ?(\d{2}|\d{4})$", 1)
-    following = F.when(year != "", year.try_cast("int") + 1)
-    split = (F.right(second, F.lit(2)) == F.right(following.cast("string"), F.lit(2))) & (second != "")
-    split = split | (F.regexp_extract(F.regexp_replace(p, r" ?- ?", "-"), r"^jul[a-z]* \d{4}-jun[a-z]* (\d{4})$", 1) == following.cast("string"))
-    whole = p.rlike(r"^(?:(?:calendar )?year )?\d{4}(?: ?\((?:full|calendar|whole) year\))?$") | (months == "jan-dec")
-    return F.when(split, F.concat(year, F.lit("/"), F.right(following.cast("string"), F.lit(2)))).when(quarter.isNotNull() & (year != ""), F.concat(year, F.lit("-Q"), quarter)).when(whole, year)
+    cleaned = F.regexp_replace(F.lower(F.trim(F.regexp_replace(F.regexp_replace(period, "[–−]", "-"), "[\\s ]+", " "))), r"^fy ?", "")
+
+    def read(p: Column) -> Column:
+        year = F.regexp_extract(p, r"(\d{4})", 1)
+        ranges = {"jan-mar": "1", "apr-jun": "2", "jul-sep": "3", "oct-dec": "4"}
+        month_quarter = F.regexp_extract(F.regexp_replace(p, r" ?- ?", "-"), r"^([a-z]{3})[a-z]*-([a-z]{3})[a-z]* \d{4}$", 0)
+        months = F.regexp_replace(F.regexp_extract(month_quarter, r"^([a-z-]+)", 1), r"([a-z]{3})[a-z]*", "$1")
+        quarter = F.coalesce(
+            F.nullif(F.regexp_extract(p, r"^(?:q([1-4])[ -/]?\d{4})$", 1), F.lit("")),
+            F.nullif(F.regexp_extract(p, r"^\d{4}[ -/]?q([1-4])$", 1), F.lit("")),
+            F.nullif(F.regexp_extract(p, r"^([1-4])(?:st|nd|rd|th) quarter(?: of)? \d{4}$", 1), F.lit("")),
+            F.create_map(*[F.lit(x) for pair in ranges.items() for x in pair])[months],
+        )
+        second = F.regexp_extract(p, r"^\d{4} ?[/-] ?(\d{2}|\d{4})$", 1)
+        following = F.when(year != "", year.try_cast("int") + 1)
+        split = (F.right(second, F.lit(2)) == F.right(following.cast("string"), F.lit(2))) & (second != "")
+        split = split | (F.regexp_extract(F.regexp_replace(p, r" ?- ?", "-"), r"^jul[a-z]* \d{4}-jun[a-z]* (\d{4})$", 1) == following.cast("string"))
+        whole = p.rlike(r"^(?:(?:calendar )?year )?\d{4}(?: ?\((?:full|calendar|whole) year\))?$") | (months == "jan-dec")
+        return F.when(split, F.concat(year, F.lit("/"), F.right(following.cast("string"), F.lit(2)))).when(quarter.isNotNull() & (year != ""), F.concat(year, F.lit("-Q"), quarter)).when(whole, year)
+
+    return _let(cleaned, read)
 
 
 def common_quantities(facts: DataFrame, common_units: DataFrame) -> DataFrame:
