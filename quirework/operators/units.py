@@ -13,7 +13,7 @@ from collections import deque
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirework.session import broadcast_if_small, small_rows
+from quirework.session import broadcast_if_small, materialize, small_rows
 
 MAX_UNITS = 1000
 TOLERANCE = 0.005
@@ -256,6 +256,7 @@ def equal_facts(quantities: DataFrame, tolerance: float = TOLERANCE) -> DataFram
     width = -math.log1p(-tolerance) * (1 + 1e-9) if tolerance > 0 else 1.0
     v = F.col("common_value")
     keyed = usable.select("id", "entity", "period", "quantity", F.signum(v).cast("int").alias("sgn"), v.alias("v"), F.when(v == 0, F.lit(0)).otherwise(F.floor(F.log(F.abs(v)) / width)).cast("long").alias("bucket"))
+    keyed = materialize(keyed, "quantities")  # both sides of the join read it; parsing is the dear part
     left = keyed.select(F.col("id").alias("l"), "entity", "period", "quantity", "sgn", F.col("v").alias("lv"), "bucket")
     right = keyed.select(F.col("id").alias("r"), "entity", "period", "quantity", "sgn", F.col("v").alias("rv"), F.explode(F.array(F.struct(F.col("bucket"), F.lit(False).alias("next")), F.struct((F.col("bucket") - 1).alias("bucket"), F.lit(True).alias("next")))).alias("x")).select("r", "entity", "period", "quantity", "sgn", "rv", "x.bucket", "x.next")
     near = F.abs(F.col("lv") - F.col("rv")) <= tolerance * F.greatest(F.abs("lv"), F.abs("rv")) * (1 + 1e-9)
