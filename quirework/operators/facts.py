@@ -58,3 +58,14 @@ def lookup(facts: DataFrame, questions: DataFrame) -> DataFrame:
     terms = q.select("term").filter("term IS NOT NULL").distinct()
     hits = facts.select("id", F.lower("entity").alias("e"), "value").join(F.broadcast(terms) if len(terms.take(10_001)) <= 10_000 else terms, F.col("e").contains(F.col("term"))).groupBy("term").agg(F.min_by("value", "id").alias("value"))
     return q.join(hits, "term", "left").select("query_id", "term", "value")
+
+
+# What a number is counted in, for the default provider.
+_UNITS = "percent|million|billion|thousand|units|lakh|birr|USD|kg|km"
+
+
+def extract(ldus: DataFrame, key: str = "ldu_id") -> DataFrame:
+    """(key, entity, value, unit) of the default provider: every number followed by a unit, with the two words before it. Null content gives none. No shuffle."""
+    pattern = rf"((?:[\p{{L}}'’-]+\s+){{0,2}})(\d[\d.,]*)\s+({_UNITS})\b"
+    hits = ldus.select(key, F.explode(F.arrays_zip(*[F.regexp_extract_all("content", F.lit(pattern), F.lit(i)).alias(n) for i, n in ((1, "entity"), (2, "value"), (3, "unit"))])).alias("x"))
+    return hits.select(key, F.trim(F.regexp_replace("x.entity", r"\s+", " ")).alias("entity"), "x.value", "x.unit")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quirework.functions import embedding
 from quirework.functions import text as T
 from quirework.operators import agent, chunking, extraction, facts, geometry, hierarchy, reports, retrieval, sections, triage, units
 from quirework.plans.oracle import ORACLE
@@ -422,7 +425,7 @@ def ledger_missing(spark: SparkSession, d: str) -> DataFrame:
 def ledger_stream(spark: SparkSession, d: str) -> DataFrame:
     """Attempts by day and strategy from the events as a stream."""
     e = ledger.stream(spark, f"{d}/events.parquet").select(F.col("ts").cast("timestamp").alias("at"), F.col("event_type").alias("strategy"), F.col("value").alias("confidence"))
-    return ledger.run_once(ledger.attempts_by_window(e), "ledger_stream")
+    return ledger.run_once(ledger.attempts_by_window(e), f"ledger_stream_{uuid.uuid4().hex}")
 
 
 # Answers
@@ -460,6 +463,19 @@ def audit_claims(spark: SparkSession, d: str) -> DataFrame:
     return agent.audit(claims, src).select("claim_id", "status", F.size("provenance_hashes").alias("hashes"))
 
 
+@_query
+def facts_extracted(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers with a unit in the text of units."""
+    return facts.extract(_ldus(spark, d, "content"))
+
+
+@_query
+def semantic_search(spark: SparkSession, d: str) -> DataFrame:
+    """The two nearest units, by hashed embeddings, of every unit whose id is divisible by 20."""
+    u = _ldus(spark, d, "content").select(F.col("ldu_id").alias("item_id"), embedding.hashed(F.col("content")).alias("embedding"))
+    return retrieval.nearest(u.filter("item_id % 20 = 0").withColumnRenamed("item_id", "query_id"), u, k=2).select("query_id", "item_id", F.round("distance", 5).alias("distance"), "rank")
+
+
 # Reports
 
 

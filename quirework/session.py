@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -33,12 +34,32 @@ def shared_dir(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
+_written: list[str] = []
+
+
+def _clean() -> None:
+    """Removes what this process wrote into the shared folder, if Spark is still there."""
+    session = SparkSession.getActiveSession()
+    if session is None or session.sparkContext._jsc is None:
+        return
+    try:
+        conf = session.sparkContext._jsc.hadoopConfiguration()
+        for path in _written:
+            p = session._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+    except Exception:  # noqa: BLE001 - the process is ending
+        return
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as a compressed table in the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs a re-read, not a recomputation. Partitioning columns are not kept.
     """
     path = f"{shared_dir(df.sparkSession)}/quirework-{tag}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_clean)
+    _written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirework.session import shared_dir
+
 
 def stream(spark: SparkSession, path: str) -> DataFrame:
     """A parquet file, or the files that arrive in a folder, as a stream."""
@@ -24,7 +28,8 @@ def attempts_by_window(events: DataFrame, late: str = "1 day", width: str = "1 d
 def run_once(out: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """Everything there is, processed and put into the in-memory table name."""
     spark = out.sparkSession
-    q = out.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    state = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    q = out.writeStream.format("memory").option("checkpointLocation", state).queryName(name).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
 

@@ -111,3 +111,20 @@ def test_session_helpers(spark):
     assert "HINT" not in broadcast_if_small(df, 4)._jdf.queryExecution().logical().toString().upper()
     with pytest.raises(ValueError):
         small_rows(df, 4)
+
+
+def test_ask(spark, data):
+    from quirework.plans.ask import ask
+
+    f, u = spark.read.parquet(f"{data}/facts.parquet"), spark.read.parquet(f"{data}/ldus.parquet").dropDuplicates(["ldu_id"])
+    some = spark.createDataFrame([(1, "doc", "s", "report_year", "2022", None, None, "m", "h")], FACTS)
+    assert "2022" in ask(some, u, "What is the total report_year?").first()["final_answer"]
+    assert ask(f, u, "What is the total zzzz?").first()["final_answer"] == agent.REFUSAL
+    answer = ask(f, u, "Who wrote of the foundry?").first()
+    assert answer["classification"] == "conceptual" and answer["final_answer"].count("[") >= 2 and "Sources" in answer["final_answer"]
+
+
+def test_extracted_facts(spark):
+    df = spark.createDataFrame([(1, "costs reached 93.2 million; 36.6 percent in June"), (2, None)], "ldu_id int, content string")
+    got = [tuple(r) for r in facts.extract(df).collect()]
+    assert got == [(1, "costs reached", "93.2", "million"), (1, "", "36.6", "percent")]
