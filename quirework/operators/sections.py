@@ -24,8 +24,12 @@ def build(ldus: DataFrame, summaries: DataFrame | None = None, without: str | No
     "Unknown Section"; a parent that has no units makes a root. summaries: (doc_id, section_id, summary).
     """
     u = ldus.withColumn("section_id", F.coalesce(F.nullif("parent_section", F.lit("")), F.lit(without)) if without else F.nullif("parent_section", F.lit(""))).filter("section_id IS NOT NULL AND doc_id IS NOT NULL")
-    pages = F.array_distinct(F.flatten(F.collect_list("page_refs")))
-    g = u.groupBy("doc_id", "section_id").agg(F.min_by(F.when(F.col("chunk_type") == "header", F.col("content")), F.when(F.col("chunk_type") == "header", F.struct("ldu_ix", "ldu_id"))).alias("title"), F.array_min(pages).alias("page_start"), F.array_max(pages).alias("page_end"), F.sort_array(F.collect_set("chunk_type")).alias("data_types_present"), F.count("*").alias("units"), F.left(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ldu_ix", "ldu_id", "content"))), lambda x: x["content"]), "\n"), F.lit(text_limit)).alias("content"))
+    # A running length first, so that no more of a section is gathered than its text may hold.
+    before = F.sum(F.length("content") + 1).over(Window.partitionBy("doc_id", "section_id").orderBy("ldu_ix", "ldu_id").rowsBetween(Window.unboundedPreceding, -1))
+    u = u.select("doc_id", "section_id", "ldu_ix", "ldu_id", "content", "chunk_type", "page_refs", F.coalesce(before, F.lit(0)).alias("before"))
+    header = F.col("chunk_type") == "header"
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("before") < text_limit, F.struct("ldu_ix", "ldu_id", "content")))), lambda x: x["content"]), "\n")
+    g = u.groupBy("doc_id", "section_id").agg(F.min_by(F.when(header, F.col("content")), F.when(header, F.struct("ldu_ix", "ldu_id"))).alias("title"), F.min(F.array_min("page_refs")).alias("page_start"), F.max(F.array_max("page_refs")).alias("page_end"), F.sort_array(F.collect_set("chunk_type")).alias("data_types_present"), F.count("*").alias("units"), F.left(text, F.lit(text_limit)).alias("content"))
     g = g.withColumn("title", F.coalesce("title", F.lit("Unknown Section"))).withColumn("named", parent_of(F.col("section_id")))
     have = g.select("doc_id", F.col("section_id").alias("named"), F.col("section_id").alias("parent_id"))
     g = g.join(have, ["doc_id", "named"], "left").drop("named")
