@@ -49,7 +49,7 @@ def without_repeated(blocks: DataFrame, **limits: float) -> DataFrame:
 
     Blocks with a null text keep it. One row a block: a file of any size is never gathered in one task.
     """
-    once = blocks.dropDuplicates(["block_id"])
+    once = blocks.select("doc_id", "page_number", "block_ix", "block_id", "text").dropDuplicates(["block_id"])
     gone = repeated_lines(blocks, **limits).groupBy("block_id").agg(F.collect_set("line_no").alias("gone"))
     kept = once.join(gone, "block_id", "left").withColumn("_lines", F.split("text", "\n"))
     kept = kept.withColumn("_left", F.when(F.col("gone").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda x, i: ~F.array_contains("gone", i))))

@@ -14,7 +14,7 @@ def table(spark):
 
 
 def test_found_and_cleaned(spark):
-    df = table(spark).withColumn("h", F.lit(1)).withColumn("n", F.lit("x"))
+    df = table(spark).withColumn("h", F.lit(1)).withColumn("n", F.lit("x")).withColumn("gone", F.lit(2))
     assert {tuple(r) for r in R.repeated_lines(df).collect()} == {(d, 1) for d in range(4)}
     lines = R.frequent_lines(df).collect()
     assert [(r["source"], r["files"], r["source_files"]) for r in lines] == [("s", 4, 10)]
