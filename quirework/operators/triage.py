@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quirework.functions import text as T
+from quirework.session import spread
 
 # Word stems of each domain, in the order that breaks ties.
 LEXICON = {
@@ -126,16 +127,39 @@ def layouts(signals: DataFrame, image_ratio: str = "image_ratio") -> DataFrame:
     return a.select("doc_id", kind.alias("layout_type"), F.round(T.clamp(conf), 6).alias("layout_confidence"))
 
 
-def domain_hits(text: Column, lexicon: dict[str, list[str]] = LEXICON) -> dict[str, Column]:
-    """Hits of each domain: matches of every stem, summed; governmental counts double."""
+def _separate(stems: list[str]) -> bool:
+    """Whether no match of one stem can hide a match of another: none begins with another, nor does a later word of it."""
+    parts = [(i, " ".join(s.split(" ")[k:])) for i, s in enumerate(stems) for k in range(s.count(" ") + 1)]
+    return not any(i != j and (p.startswith(t) or t.startswith(p)) for i, p in parts for j, t in enumerate(stems))
+
+
+def domain_hits(text: Column, lexicon: dict[str, list[str]] = LEXICON) -> Column:
+    """ARRAY<INT>, the hits of each domain: words that begin with a stem, summed by stem; governmental counts double.
+
+    One regular expression finds the matches of all stems, which are then few to tell apart; stems that can overlap are searched one by one.
+    """
     low = F.lower(text)
-    return {d: sum((F.regexp_count(low, F.lit(rf"(?U)\b{s}\w*\b")) for s in stems), F.lit(0)) * (2 if d == "governmental" else 1) for d, stems in lexicon.items()}
+    stems = [s for x in lexicon.values() for s in x]
+    twice = lambda d: 2 if d == "governmental" else 1
+    if not _separate(stems):
+        return F.array(*[(sum((F.regexp_count(low, F.lit(rf"(?U)\b{s}\w*\b")) for s in x), F.lit(0)) * twice(d)).cast("int") for d, x in lexicon.items()])
+    by_letter: dict[str, list[str]] = {}
+    for s in stems:
+        by_letter.setdefault(s[0], []).append(s[1:])
+    pattern = r"(?<![\p{L}\p{N}_])(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in sorted(by_letter.items())) + ")"
+    of = F.create_map(*[F.lit(v) for i, x in enumerate(lexicon.values()) for s in x for v in (s, i)])
+    found = F.transform(F.regexp_extract_all(low, F.lit(pattern), F.lit(0)), lambda m: of[m])
+    weights = [twice(d) for d in lexicon]
+    return F.transform(F.array(found), lambda ms: F.array(*[(F.size(F.filter(ms, _is(i))) * w).cast("int") for i, w in enumerate(weights)]))[0]
+
+
+def _is(i: int):
+    return lambda x: x == i
 
 
 def domains(documents: DataFrame, cfg: TriageConfig = TriageConfig(), lexicon: dict[str, list[str]] = LEXICON, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, domain_hint, domain_confidence): the domain of most hits and its margin over the next, as shares of all hits; (general, 0) for few tokens or no hit. No shuffle."""
-    # The array is built first: each regular expression runs once.
-    h = documents.select(F.col(key), T.token_count(F.col(text)).alias("n"), F.array(*[c.cast("int") for c in domain_hits(F.col(text), lexicon).values()]).alias("h"))
+    h = spread(documents.select(F.col(key), F.col(text).alias("_t"))).select(F.col(key), T.token_count(F.col("_t")).alias("n"), domain_hits(F.col("_t"), lexicon).alias("h"))
     total = F.aggregate("h", F.lit(0), lambda a, x: a + x)
     ranked = F.array_sort(F.transform("h", lambda x, i: F.struct((-x).alias("s"), i.alias("i"))))
     h = h.withColumns({"total": total, "r": ranked})
