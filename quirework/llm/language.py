@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirework.llm import sentences as S
+from quirework.session import spread
 
 MAX_SAMPLES = 20_000
 BUCKETS, DIM = 1 << 17, 16
@@ -262,7 +263,7 @@ def stretches(documents: DataFrame, boundaries: S.Model, model: Model, key: str
             yield pd.DataFrame(out, columns=["_key", "stretch_ix", "start", "end", "language", "confidence", "sentences"])
 
     kind = documents.schema[key].dataType.simpleString()
-    return documents.select(F.col(key).alias("_key"), F.col(text).alias("_text")).filter("_key IS NOT NULL AND length(_text) > 0").mapInPandas(cut, f"_key {kind}, stretch_ix int, start bigint, end bigint, language string, confidence double, sentences int").withColumnRenamed("_key", key)
+    return spread(documents.select(F.col(key).alias("_key"), F.col(text).alias("_text")).filter("_key IS NOT NULL AND length(_text) > 0")).mapInPandas(cut, f"_key {kind}, stretch_ix int, start bigint, end bigint, language string, confidence double, sentences int").withColumnRenamed("_key", key)
 
 
 def document_languages(runs: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirework.session import small_rows
+from quirework.session import small_rows, spread
 
 WINDOW, SHINGLE = 12, 4
 ITEMS_A_BLOCK, MAX_ITEMS = 5_000, 500_000
@@ -121,7 +121,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, window: int = WINDOW, s
     spark = documents.sparkSession
     rows = sorted((r[0], r[1]) for r in small_rows(items.select("item_id", "item_text").filter("item_id IS NOT NULL AND item_text IS NOT NULL").distinct(), MAX_ITEMS))
     kind, item_kind = documents.schema[key].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
-    texts = documents.select(F.col(key).alias("_key"), F.col(text).alias("_text")).filter("_key IS NOT NULL AND length(_text) > 0")
+    texts = spread(documents.select(F.col(key).alias("_key"), F.col(text).alias("_text")).filter("_key IS NOT NULL AND length(_text) > 0"))
     out = spark.createDataFrame([], f"_key {kind}, item_id {item_kind}")
     for lo in range(0, len(rows), ITEMS_A_BLOCK):
         index = Index(rows[lo : lo + ITEMS_A_BLOCK], window, shingle)

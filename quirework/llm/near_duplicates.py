@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirework.session import broadcast_if_small, materialize
+from quirework.session import broadcast_if_small, materialize, spread
 
 WIDTH, SIMILARITY, LEAST_WORDS = 3, 0.5, 30
 PLANES, BLOCK, COMMON = 128, 2000, 3
@@ -149,7 +149,7 @@ def classes(texts: DataFrame, key: str = "ldu_id", text: str = "content", width:
 
     kind = texts.schema[key].dataType.simpleString()
     # A word and the mark after it take two characters at least.
-    both = texts.select(F.col(key).alias("id"), F.col(text).alias("t")).filter("id IS NOT NULL").filter(F.length("t") >= 2 * least_words - 1).mapInPandas(run, f"id {kind}, c1 bigint, c2 bigint, n int, piece int, counts binary")
+    both = spread(texts.select(F.col(key).alias("id"), F.col(text).alias("t")).filter("id IS NOT NULL").filter(F.length("t") >= 2 * least_words - 1)).mapInPandas(run, f"id {kind}, c1 bigint, c2 bigint, n int, piece int, counts binary")
     both = materialize(both, "classes")
     return both.filter("piece = -1").select("id", "c1", "c2", "n").distinct(), _sketch(both.filter("piece >= 0").select("piece", "counts"))
 
@@ -251,7 +251,7 @@ def candidate_pairs(reps: DataFrame, sketch: np.ndarray, similarity: float = SIM
                     tree.add(fp, (rep, n))
             yield pd.DataFrame({"a": a, "b": b}).astype({"a": pdf["rep"].dtype, "b": pdf["rep"].dtype})
 
-    dealt = reps.mapInPandas(deal, f"h bigint, place int, rep {kind}, n int, f1 bigint, f2 bigint")
+    dealt = spread(reps).mapInPandas(deal, f"h bigint, place int, rep {kind}, n int, f1 bigint, f2 bigint")
     # Within a shard and block the nodes (even places) come first, then the texts of later blocks that query the tree.
     met = dealt.repartition(F.col("h"), F.floor(F.col("place") / 2)).sortWithinPartitions("h", "place", "rep").mapInPandas(trees, f"a {kind}, b {kind}")
     return met.groupBy("a", "b").agg(F.count("*").alias("c")).filter(F.col("c") >= common).select("a", "b")

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirework.session import materialize
+from quirework.session import materialize, spread
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 SHARD_ROWS, REPACK_BELOW = 20_000, 0.97
@@ -48,7 +48,7 @@ def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY, key: str =
             yield pd.DataFrame({"_key": pdf["_key"], "tokens": [len(enc.encode_ordinary(t)) if t else 0 for t in pdf["_text"]]})
 
     kind = documents.schema[key].dataType.simpleString()
-    return documents.select(F.col(key).alias("_key"), F.col(text).alias("_text")).filter("_key IS NOT NULL").mapInPandas(count, f"_key {kind}, tokens bigint").withColumnRenamed("_key", key)
+    return spread(documents.select(F.col(key).alias("_key"), F.col(text).alias("_text")).filter("_key IS NOT NULL")).mapInPandas(count, f"_key {kind}, tokens bigint").withColumnRenamed("_key", key)
 
 
 def pack(sizes: list[int], capacity: int) -> list[int]:

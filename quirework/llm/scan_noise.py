@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirework.session import materialize
+from quirework.session import materialize, spread
 
 # What is printed and what is read for it.
 CONFUSIONS = {("o", "0"), ("l", "1"), ("s", "5"), ("b", "8"), ("g", "9"), ("a", "@"), ("i", "!"), ("i", "í"), ("e", "c"), ("t", "f"), ("y", "v"), ("n", "ri"), ("u", "ii"), ("d", "cl"), ("h", "li"), ("m", "rn"), ("i", "l"), ("i", "1"), ("w", "vv"), ("z", "2")}
@@ -100,7 +100,7 @@ def records(blocks: DataFrame, ldus: DataFrame) -> DataFrame:
     """(kind, id, doc_id, place, page, source, text) of both tables; null ids and texts are left out. Rows delivered again stay: results are distinct."""
     b = blocks.select(F.lit("block").alias("kind"), F.col("block_id").alias("id"), "doc_id", F.col("block_ix").alias("place"), F.col("page_number").alias("page"), "source", "text")
     u = ldus.select(F.lit("ldu").alias("kind"), F.col("ldu_id").alias("id"), "doc_id", F.col("ldu_ix").alias("place"), F.lit(None).cast("int").alias("page"), F.lit(None).cast("string").alias("source"), F.col("content").alias("text"))
-    return b.unionByName(u).filter("id IS NOT NULL AND length(text) > 0")
+    return spread(b.unionByName(u).filter("id IS NOT NULL AND length(text) > 0"))
 
 
 _SCAN = "what string, kind string, id bigint, a string, b string, page int, source string, n bigint"

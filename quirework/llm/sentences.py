@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirework.session import spread
+
 #: Bounds of the training sample: texts in all, and texts more that hold a script without terminators.
 SAMPLE, SAMPLE_BARE = 3000, 600
 #: Share of c from which an unlabelled place counts as a boundary while the model learns.
@@ -353,7 +355,7 @@ def sentence_starts(documents: DataFrame, model: Model, key: str = "doc_id", tex
             yield pd.DataFrame({"_key": np.repeat(pdf["_key"].to_numpy(), [len(s) for s in starts]), "sentence_start": np.array([x for s in starts for x in s], np.int64)})
 
     kind = documents.schema[key].dataType.simpleString()
-    return documents.select(F.col(key).alias("_key"), F.col(text).alias("_text")).filter("_key IS NOT NULL AND length(_text) > 0").mapInPandas(cut, f"_key {kind}, sentence_start bigint").withColumnRenamed("_key", key)
+    return spread(documents.select(F.col(key).alias("_key"), F.col(text).alias("_text")).filter("_key IS NOT NULL AND length(_text) > 0")).mapInPandas(cut, f"_key {kind}, sentence_start bigint").withColumnRenamed("_key", key)
 
 
 def sentences(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -368,4 +370,4 @@ def sentences(documents: DataFrame, model: Model, key: str = "doc_id", text: str
             yield pd.DataFrame(out, columns=["_key", "sentence_ix", "sentence_start", "sentence"])
 
     kind = documents.schema[key].dataType.simpleString()
-    return documents.select(F.col(key).alias("_key"), F.col(text).alias("_text")).filter("_key IS NOT NULL AND length(_text) > 0").mapInPandas(cut, f"_key {kind}, sentence_ix int, sentence_start bigint, sentence string").withColumnRenamed("_key", key)
+    return spread(documents.select(F.col(key).alias("_key"), F.col(text).alias("_text")).filter("_key IS NOT NULL AND length(_text) > 0")).mapInPandas(cut, f"_key {kind}, sentence_ix int, sentence_start bigint, sentence string").withColumnRenamed("_key", key)
