@@ -91,9 +91,14 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores where it comes in fewer partitions than there are cores (a small file): for work that is dear a row. Larger inputs stay as they are read."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    """df over all cores where it is read in fewer partitions than there are cores (a small file): for work that is dear a row.
+
+    Larger inputs stay as they are read, and so do plans with a shuffle, whose partitions only show when they run.
+    """
+    cores, plan = df.sparkSession.sparkContext.defaultParallelism, df._jdf.queryExecution()
+    if plan.executedPlan().nodeName() == "AdaptiveSparkPlan":
+        return df
+    return df.repartition(cores) if plan.toRdd().getNumPartitions() < cores else df
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirework.operators import agent, facts, retrieval
-from quirework.session import broadcast_if_small, materialize, shared_dir, small_rows
+from quirework.session import broadcast_if_small, materialize, shared_dir, small_rows, spread
 from quirework.sources import tables
 from quirework.streaming import ledger
 
@@ -111,6 +111,7 @@ def test_session_helpers(spark):
     assert "HINT" not in broadcast_if_small(df, 4)._jdf.queryExecution().logical().toString().upper()
     with pytest.raises(ValueError):
         small_rows(df, 4)
+    assert spread(df.coalesce(1)).rdd.getNumPartitions() >= 2 and spread(df.repartition(64)).count() == 5
 
 
 def test_ask(spark, data):
