@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirework.session import materialize, spread
@@ -103,7 +103,17 @@ def records(blocks: DataFrame, ldus: DataFrame) -> DataFrame:
     return spread(b.unionByName(u).filter("id IS NOT NULL AND length(text) > 0"))
 
 
-_SCAN = "what string, kind string, id bigint, a string, b string, page int, source string, n bigint"
+#: ctx and key are of h: a hash of the two lines, and the second line as alike() has it where it may be a header.
+_COLUMNS = ["what", "kind", "id", "a", "b", "page", "source", "n", "doc", "ctx", "key"]
+_SCAN = "what string, kind string, id bigint, a string, b string, page int, source string, n bigint, doc string, ctx bigint, key string"
+
+
+def _header_key(line: str) -> str | None:
+    """The line as alike() has it if it may be a header or footer, else None."""
+    if not 8 <= len(line) <= 160 or "|" in line[1:-1] or (s := line.rstrip())[-1:] in ".?!;,:\"”»" or line[:1].islower():
+        return None
+    key = alike(s)
+    return key if 1 <= key.count(" ") <= 14 else None
 
 
 def _scan(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -117,30 +127,29 @@ def _scan(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for m in _HYPHEN.finditer(text):
                     line = text[m.end() :].split("\n", 1)[0]
                     nxt = None if _PAGE.match(line) else _NEXT.match(line.lstrip())
-                    out.append(("h", kind, id_, word(m.group(1)), word(nxt.group()) if nxt else None, page, "U" if m.group(1)[:1].isupper() else None, 1))
+                    ctx = xxhash.xxh3_64_intdigest(text[text.rfind("\n", 0, m.start()) + 1 : m.end()] + "\n" + line) - (1 << 63)
+                    out.append(("h", kind, id_, word(m.group(1)), word(nxt.group()) if nxt else None, page, "U" if m.group(1)[:1].isupper() else None, 1, doc, ctx, _header_key(line)))
             for line in text.split("\n"):
                 size = len(line)
                 if size <= 24 and _PAGE.match(line) and not line.isspace() and line:
-                    out.append(("f", kind, id_, None, None, page, None, 1))
-                elif 8 <= size <= 160 and "|" not in line[1:-1] and (s := line.rstrip())[-1:] not in ".?!;,:\"”»" and not line[:1].islower():
-                    key = alike(s)
-                    if 1 <= key.count(" ") <= 14:
-                        out.append(("l", kind, id_, doc, key, page, source, 1))
+                    out.append(("f", kind, id_, None, None, page, None, 1, None, None, None))
+                elif 8 <= size <= 160 and (key := _header_key(line)) is not None:
+                    out.append(("l", kind, id_, doc, key, page, source, 1, None, None, None))
             found = tokens(text)
             bad = False
             for t in found:
                 if not t.isalpha() or not t.isascii():
                     if not bad and marked(t):
                         bad = True
-                        out.append(("m", kind, id_, None, None, page, None, 1))
+                        out.append(("m", kind, id_, None, None, page, None, 1, None, None, None))
             count.update(map(str.lower, found))
         if len(count) > 300_000:
-            out += [("w", None, None, w, None, None, None, n) for w, n in _clean(count).items()]
+            out += [("w", None, None, w, None, None, None, n, None, None, None) for w, n in _clean(count).items()]
             count.clear()
         if out:
-            yield pd.DataFrame(out, columns=["what", "kind", "id", "a", "b", "page", "source", "n"]).astype({"id": "Int64", "page": "Int32"})
+            yield pd.DataFrame(out, columns=_COLUMNS).astype({"id": "Int64", "page": "Int32", "ctx": "Int64"})
     if count:
-        yield pd.DataFrame([("w", None, None, w, None, None, None, n) for w, n in _clean(count).items()], columns=["what", "kind", "id", "a", "b", "page", "source", "n"]).astype({"id": "Int64", "page": "Int32"})
+        yield pd.DataFrame([("w", None, None, w, None, None, None, n, None, None, None) for w, n in _clean(count).items()], columns=_COLUMNS).astype({"id": "Int64", "page": "Int32", "ctx": "Int64"})
 
 
 def _clean(count: Counter) -> Counter:
@@ -238,35 +247,89 @@ def occurrences(recs: DataFrame, types: DataFrame, column: str = "read") -> Data
     return hits.join(types.select(column).distinct(), column, "left_semi")
 
 
-def divided_words(found: DataFrame, lex: DataFrame, fixes: DataFrame, compound_records: int = 3) -> DataFrame:
+def divided_words(recs: DataFrame, found: DataFrame, lex: DataFrame, fixes: DataFrame, compound_records: int = 3) -> DataFrame:
     """(kind, id, a, b) of words divided at a line end or the end of the record (b is null there).
 
-    Not divided: a compound, that is, two parts that stand divided in at least compound_records records though, put together,
-    they are no more frequent in the text than those divisions and are no misreading of a word.
+    Not divided: a compound, that is, two parts that stand divided in at least compound_records different pairs of lines
+    though, put together, they are no more frequent in the text than those divisions and are no misreading of a word. As
+    accidents grow with the corpus, the first part must also be divided no more often in words, or be itself a word that is more frequent
+    than that; and a number, a running header or a repeated line is no second part. A part before such a line, or at the end of
+    the record, is judged with its continuation, the next word of the file; one that has none and begins a compound is left out.
     """
-    pairs = found.filter("what = 'h'").select("kind", "id", "a", "b", F.col("source").isNotNull().alias("name"))
+    headers = _headers(found).select(F.col("doc_id").alias("doc"), "key")
+    h = found.filter("what = 'h'").select("kind", "id", "a", "b", F.col("source").isNotNull().alias("name"), "ctx", "doc", "key")
+    cut = F.col("stop").isNotNull() | F.col("b").rlike("^[0-9]")
+    pairs = h.join(headers.withColumn("stop", F.lit(True)), ["doc", "key"], "left").withColumn("b", F.when(~F.coalesce(cut, F.lit(False)), F.col("b")))
     whole = F.concat("a", "b")
-    counted = pairs.filter("b IS NOT NULL").groupBy("a", "b").agg(F.countDistinct("kind", "id").alias("records"), F.count("*").alias("times"), F.max("name").alias("any_name"))
+    counted = pairs.filter("b IS NOT NULL").groupBy("a", "b").agg(F.countDistinct("ctx").alias("contexts"), F.count("*").alias("times"), F.max("name").alias("any_name"))
     joined = counted.withColumn("word", whole).join(lex, "word", "left").join(fixes.select(F.col("read").alias("word"), F.lit(True).alias("misread")).distinct(), "word", "left")
-    compound = joined.filter((F.col("records") >= compound_records) & ~F.col("any_name") & (F.coalesce("n", F.lit(0)) <= F.col("times") * 2) & F.col("misread").isNull()).select("a", "b")
+    joined = joined.withColumn("rare", (F.coalesce("n", F.lit(0)) <= F.col("times") * 2) & F.col("misread").isNull()).select("a", "b", "contexts", "times", "any_name", "rare")
+    ends = pairs.filter("b IS NULL").groupBy("a").agg(F.count("*").alias("ends"))
+    # How often the first part is divided in words, and how often it stands by itself.
+    in_words = joined.groupBy("a").agg(F.sum(F.when(F.col("rare"), 0).otherwise(F.col("times"))).alias("in_words")).join(ends, "a", "left").join(lex.select(F.col("word").alias("a"), F.col("n").alias("alone")), "a", "left")
+    stems = in_words.select("a", (F.col("in_words") + F.coalesce("ends", F.lit(0))).alias("stem"), (F.coalesce("alone", F.lit(0)) - F.coalesce("ends", F.lit(0))).alias("alone"))
+    likely = joined.filter((F.col("contexts") >= compound_records) & ~F.col("any_name") & F.col("rare"))
+    compound = materialize(likely.join(stems, "a").filter((F.col("times") >= F.col("stem")) | (F.col("alone") > F.col("stem"))).select("a", "b"), "compounds")
     inside = pairs.filter("b IS NOT NULL").join(compound, ["a", "b"], "left_anti").select("kind", "id", "a", "b")
     first = compound.select("a").distinct()
-    ends = pairs.filter("b IS NULL").join(first, "a", "left_anti").select("kind", "id", "a", "b")
-    return inside.unionByName(ends)
+    last = pairs.filter("b IS NULL").select("kind", "id", "a", "b")
+    unsure = last.join(first, "a", "left_semi")
+    other = _continued(recs, unsure, headers).filter("b IS NOT NULL").join(compound, ["a", "b"], "left_anti").select("kind", "id", "a", F.lit(None).cast("string").alias("b"))
+    return inside.unionByName(last.join(first, "a", "left_anti").select("kind", "id", "a", "b")).unionByName(other)
 
 
-def running_lines(found: DataFrame, least_pages: int = 2, least_files: int = 3, least_share: float = 0.2) -> DataFrame:
-    """(kind, id, doc_id, key): lines that recur on least_pages pages of their file, but not those repeated across the files of the source."""
+def _continued(recs: DataFrame, unsure: DataFrame, headers: DataFrame) -> DataFrame:
+    """(kind, id, a, b) of first parts (kind, id, a): with the word that follows in the record or else in the file, page numbers and headers (doc, key) passed over; null where the file ends."""
+    wanted = unsure.groupBy("kind", "id").agg(F.collect_set("a").alias("parts"))
+    files = recs.select("kind", "id", "doc_id").join(wanted.select("kind", "id"), ["kind", "id"], "left_semi").select("kind", "doc_id").distinct()
+    keys = headers.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set("key").alias("running"))
+    rows = recs.select("kind", "id", "doc_id", "place", "text").join(files, ["kind", "doc_id"], "left_semi").dropDuplicates(["kind", "id"]).join(keys, "doc_id", "left").join(wanted, ["kind", "id"], "left")
+
+    def look(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            out = []
+            for kind, id_, doc, place, text, running, parts in zip(pdf["kind"], pdf["id"], pdf["doc_id"], pdf["place"], pdf["text"], pdf["running"], pdf["parts"], strict=True):
+                skip = set() if running is None else set(running)
+                kept = "\n".join(x for x in text.split("\n") if x.strip() and not _PAGE.match(x) and not (skip and _header_key(x) in skip))
+                start = _NEXT.search(kept)
+                cuts = []
+                for m in _HYPHEN.finditer(kept) if parts is not None else ():
+                    if word(m.group(1)) in parts:
+                        nxt = _NEXT.search(kept, m.end())
+                        cuts.append({"a": word(m.group(1)), "b": word(nxt.group()) if nxt else None})
+                out.append((kind, id_, doc, place, word(start.group()) if start else None, cuts))
+            yield pd.DataFrame(out, columns=["kind", "id", "doc_id", "place", "start", "cuts"]).astype({"place": "Int32"})
+
+    seen = rows.mapInPandas(look, "kind string, id bigint, doc_id string, place int, start string, cuts array<struct<a:string,b:string>>")
+    after = Window.partitionBy("kind", "doc_id").orderBy(F.desc("place"), F.desc("id")).rowsBetween(Window.unboundedPreceding, -1)
+    return seen.withColumn("next", F.last("start", ignorenulls=True).over(after)).select("kind", "id", "next", F.explode("cuts").alias("c")).select("kind", "id", "c.a", F.coalesce("c.b", "next").alias("b"))
+
+
+def _lines(found: DataFrame, least_pages: int, least_files: int, least_share: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Lines that may be headers, those recurring on pages of their file (doc_id, key, source), those repeated across the files of the source (source, key)."""
     lines = found.filter("what = 'l'").select("kind", "id", F.col("a").alias("doc_id"), F.col("b").alias("key"), "page", "source")
     on = lines.filter("kind = 'block' AND doc_id IS NOT NULL AND page IS NOT NULL")
     recurring = on.groupBy("doc_id", "key", "source", "page").agg(F.count("*").alias("c")).groupBy("doc_id", "key", "source").agg(F.count("*").alias("pages")).filter(F.col("pages") >= least_pages)
     files = on.groupBy("source", "key", "doc_id").agg(F.count("*").alias("c")).groupBy("source", "key").agg(F.count("*").alias("files")).filter(F.col("files") >= least_files)
     sizes = on.select("source", "doc_id").distinct().groupBy("source").agg(F.count("*").alias("all"))
     common = files.join(sizes, "source").filter(F.col("files") >= least_share * F.col("all")).select("source", "key")
+    return lines, recurring, common
+
+
+def running_lines(found: DataFrame, least_pages: int = 2, least_files: int = 3, least_share: float = 0.2) -> DataFrame:
+    """(kind, id, doc_id, key): lines that recur on least_pages pages of their file, but not those repeated across the files of the source."""
+    lines, recurring, common = _lines(found, least_pages, least_files, least_share)
     kept = recurring.join(common, ["source", "key"], "left_anti").select("doc_id", "key").distinct()
     return lines.join(kept, ["doc_id", "key"], "left_semi").select("kind", "id", "doc_id", "key")
 
 
+def _headers(found: DataFrame, least_pages: int = 2, least_files: int = 3, least_share: float = 0.2) -> DataFrame:
+    """(doc_id, key): lines of each file that stand between the halves of a word: running lines and repeated ones."""
+    lines, recurring, common = _lines(found, least_pages, least_files, least_share)
+    repeated = lines.filter("doc_id IS NOT NULL").select("doc_id", "key", "source").join(common, ["source", "key"], "left_semi").select("doc_id", "key")
+    return materialize(recurring.select("doc_id", "key").unionByName(repeated).distinct(), "headers")
+
+
 def defects(blocks: DataFrame, ldus: DataFrame) -> DataFrame:
     """(record_kind, record_id, defect), distinct: hyphen, misread and furniture of every block and LDU."""
     recs = records(blocks, ldus)
@@ -274,7 +337,7 @@ def defects(blocks: DataFrame, ldus: DataFrame) -> DataFrame:
     lex = materialize(lexicon(found), "lexicon")
     fixes = materialize(corrections(lex), "fixes")
     parts = [
-        divided_words(found, lex, fixes).select("kind", "id", F.lit("hyphen").alias("defect")),
+        divided_words(recs, found, lex, fixes).select("kind", "id", F.lit("hyphen").alias("defect")),
         found.filter("what = 'm'").select("kind", "id", F.lit("misread").alias("defect")),
         occurrences(recs, fixes).select("kind", "id", F.lit("misread").alias("defect")),
         found.filter("what = 'f'").select("kind", "id", F.lit("furniture").alias("defect")),
@@ -373,7 +436,7 @@ def repaired(blocks: DataFrame, ldus: DataFrame) -> DataFrame:
     pairs = before.select("kind", "id", "text").mapInPandas(neighbours, "kind string, id bigint, prev string, read string").join(ambiguous, "read")
     chosen = pairs.join(_context(recs, ambiguous), ["prev", "true"]).groupBy("kind", "id", "read").agg(F.max_by("true", F.struct("seen", "n_true", "true")).alias("by_context"))
     fixed = hits.join(plain, "read").join(chosen, ["kind", "id", "read"], "left").select("kind", "id", "read", F.coalesce("by_context", "true").alias("true"))
-    divided = divided_words(found, lex, candidates)
+    divided = divided_words(recs, found, lex, candidates)
     compound = found.filter("what = 'h' AND b IS NOT NULL").select("kind", "id", "a", "b").join(divided.select("kind", "id", "a", "b"), ["kind", "id", "a", "b"], "left_anti").select("kind", "id", F.concat_ws("-", "a", "b").alias("read"), F.lit("").alias("true"))
     maps = fixed.unionByName(compound).distinct().groupBy("kind", "id").agg(F.map_from_entries(F.collect_set(F.struct("read", "true"))).alias("fixes"))
     lines = running_lines(found).groupBy("kind", "id").agg(F.collect_set("key").alias("running"))

@@ -48,3 +48,15 @@ def test_marks_and_lines():
 def test_empty(spark):
     b, u = tables(spark)
     assert S.defects(b.limit(0), u.limit(0)).count() == 0 and S.repaired(b.limit(0), u.limit(0)).count() == 0
+
+
+def test_stems_cut_before_repeated_words_are_no_compounds(spark):
+    """A stem cut before the same word by accident stays divided, inside a record and at its end; a true compound is none."""
+    text = ["The protection of the council and its protection by law"] * 31
+    text += [f"the {w} prot-\nection of it" for w in ("full", "wide", "late", "new")]
+    text += [f"the {w} prot-\nshare of the {w} market" for w in ("full", "wide", "late", "new")]
+    text += [f"a {w} cross-\nborder {v}" for w, v in (("new", "case"), ("wide", "market"), ("late", "deal"))]
+    text += ["The wide prot-", "ection is there", "The late cross-", "ing is there", "A new cross-", "border case"]
+    rows = [(i, f"d{i // 2}", "s", 1, i % 2, t) for i, t in enumerate(text)]
+    got = {r["record_id"] for r in S.defects(spark.createDataFrame(rows, BLOCKS), tables(spark)[1].limit(0)).collect() if r["defect"] == "hyphen"}
+    assert got == {i for i, t in enumerate(text) if "prot-" in t or t == "The late cross-"}
