@@ -55,8 +55,13 @@ def alike(line: str) -> str:
     return out
 
 
-def distance(true: str, read: str) -> float:
-    """Edit distance in which a confusion pair costs CONFUSED and anything else OTHER for each character."""
+#: Two characters that are read as one.
+_MERGED = {(b, a) for a, b in CONFUSIONS if len(b) == 2}
+_PAIRS = {a for a, _ in _MERGED}
+
+
+def distance(true: str, read: str, merged: bool = False) -> float:
+    """Edit distance in which a confusion pair costs CONFUSED and anything else OTHER for each character; with merged, also two characters read as one are such a pair."""
     n, m = len(true), len(read)
     d = [[0.0] * (m + 1) for _ in range(n + 1)]
     for i in range(n + 1):
@@ -68,6 +73,8 @@ def distance(true: str, read: str) -> float:
                 best = min(best, d[i - 1][j - 1] + (0.0 if true[i - 1] == read[j - 1] else CONFUSED if (true[i - 1], read[j - 1]) in CONFUSIONS else OTHER))
                 if j > 1 and (true[i - 1], read[j - 2 : j]) in CONFUSIONS:
                     best = min(best, d[i - 1][j - 2] + CONFUSED)
+                if merged and i > 1 and (true[i - 2 : i], read[j - 1]) in _MERGED:
+                    best = min(best, d[i - 2][j - 1] + CONFUSED)
             d[i][j] = best
     return d[n][m]
 
@@ -178,7 +185,9 @@ def _deletes(index: bool):
             out = []
             for w, n in zip(pdf["word"], pdf["n"], strict=True):
                 keys = {w[:i] + w[i + 1 :] for i in range(len(w))}
-                if not index:
+                if index:
+                    keys |= {w[:i] + w[i + 2 :] for i in range(len(w) - 1) if w[i : i + 2] in _PAIRS}
+                else:
                     keys |= {w[:i] + w[i + 2 :] for i in range(len(w) - 1)} | {w}
                 out += [(xxhash.xxh3_64_intdigest(k) - (1 << 63), w, n) for k in keys]
             yield pd.DataFrame(out, columns=["k", "word", "n"])
@@ -190,7 +199,8 @@ def corrections(lex: DataFrame, least_count: int = LEAST_COUNT, ratio: float = L
     """(read, true, cost, n_true): candidates for words that are rare beside a word they can be misread from.
 
     Words of fewer than LEAST_LENGTH characters are not judged. The index holds the words seen at least least_count times
-    with one character dropped; a word is looked up with one or two neighbouring characters dropped.
+    with one character dropped, or two that may be read as one (rn as m); a word is looked up with one or two neighbouring
+    characters dropped.
     """
     long = lex.filter(F.length("word") >= LEAST_LENGTH)
     true = long.filter(F.col("n") >= least_count).filter(~F.col("word").rlike("[0-9@!í]")).mapInPandas(_deletes(True), "k bigint, word string, n bigint").select("k", F.col("word").alias("true"), F.col("n").alias("n_true"))
@@ -199,7 +209,7 @@ def corrections(lex: DataFrame, least_count: int = LEAST_COUNT, ratio: float = L
 
     def weigh(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            pdf["cost"] = [distance(a, b) for a, b in zip(pdf["true"], pdf["read"], strict=True)]
+            pdf["cost"] = [distance(a, b, merged=True) for a, b in zip(pdf["true"], pdf["read"], strict=True)]
             yield pdf[pdf["cost"] <= most_cost]
 
     return near.mapInPandas(weigh, "read string, true string, n_true bigint, cost double")

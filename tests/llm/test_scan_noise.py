@@ -60,3 +60,10 @@ def test_stems_cut_before_repeated_words_are_no_compounds(spark):
     rows = [(i, f"d{i // 2}", "s", 1, i % 2, t) for i, t in enumerate(text)]
     got = {r["record_id"] for r in S.defects(spark.createDataFrame(rows, BLOCKS), tables(spark)[1].limit(0)).collect() if r["defect"] == "hyphen"}
     assert got == {i for i, t in enumerate(text) if "prot-" in t or t == "The late cross-"}
+
+
+def test_two_characters_read_as_one(spark):
+    lex = spark.createDataFrame([("returned", 30), ("retumed", 4), ("disclosed", 30), ("disdosed", 2), ("delivered", 30), ("dehvered", 2), ("original", 30), ("ongjnal", 2), ("market", 30), ("marnet", 1)], "word string, n bigint")
+    got = {(r["read"], r["true"]): r["cost"] for r in S.corrections(lex).collect()}
+    assert got == dict.fromkeys([("retumed", "returned"), ("disdosed", "disclosed"), ("dehvered", "delivered")], S.CONFUSED)
+    assert S.distance("returned", "retumed", merged=True) == S.CONFUSED
