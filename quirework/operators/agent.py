@@ -41,3 +41,13 @@ def audit(claims: DataFrame, sources: DataFrame) -> DataFrame:
     s = sources.groupBy("claim_id").agg(F.array_join(F.array_sort(F.collect_list(F.lower("content"))), " ").alias("t"), F.sort_array(F.collect_set("content_hash")).alias("h"))
     ok = F.col("t").contains(F.lower("claim"))
     return claims.join(s, "claim_id", "left").select("claim_id", F.when(ok, "Verified").otherwise("Not Found / Unverifiable").alias("status"), F.when(ok, F.col("h")).otherwise(F.array().cast("array<string>")).alias("provenance_hashes"))
+
+
+def audit_within(units: DataFrame, group: str) -> DataFrame:
+    """audit() of the claim of every unit (claim_id, claim, content_hash, content) against all other units of its group; a group is one row, so that texts are shuffled once."""
+    alone = F.when(F.col(group).isNull(), F.col("claim_id"))
+    g = units.groupBy(group, alone.alias("_alone")).agg(F.collect_list(F.struct("claim_id", "claim", "content_hash", F.lower("content").alias("t"))).alias("all"))
+    others = g.select(F.explode("all").alias("c"), "all").select("c.claim_id", "c.claim", F.filter("all", lambda x: x["claim_id"] != F.col("c.claim_id")).alias("s"))
+    ok = (F.size("s") > 0) & F.array_join(F.array_sort(F.col("s.t")), " ").contains(F.lower("claim"))
+    hashes = F.array_sort(F.array_distinct(F.filter("s.content_hash", lambda h: h.isNotNull())))
+    return others.select("claim_id", F.when(ok, "Verified").otherwise("Not Found / Unverifiable").alias("status"), F.when(ok, hashes).otherwise(F.array().cast("array<string>")).alias("provenance_hashes"))

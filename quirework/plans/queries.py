@@ -454,7 +454,7 @@ def answers_cited(spark: SparkSession, d: str) -> DataFrame:
 
 @_query
 def audit_claims(spark: SparkSession, d: str) -> DataFrame:
-    """First sentences of units as claims, against the unit and the next one of the file."""
+    """A sample in the form its SQL fixes: the first 30 characters of every twentieth unit, against the next one of the file and half of them against themselves. audit_units audits all."""
     u = _ldus(spark, d, "doc_id", "ldu_ix", "content", "content_hash").filter("ldu_id % 20 = 0")
     claims = u.select(F.col("ldu_id").alias("claim_id"), F.upper(F.left(F.col("content"), F.lit(30))).alias("claim"))
     every = _ldus(spark, d, "doc_id", "ldu_ix", "content", "content_hash")
@@ -463,6 +463,16 @@ def audit_claims(spark: SparkSession, d: str) -> DataFrame:
     return agent.audit(claims, src).select("claim_id", "status", F.size("provenance_hashes").alias("hashes"))
 
 
+@_query
+def audit_units(spark: SparkSession, d: str) -> DataFrame:
+    """The whole first sentence of every unit as a claim, against all other units of its file (its own text would verify any claim)."""
+    u = _ldus(spark, d, "doc_id", "content", "content_hash")
+    # A sentence ends before a letter that is no small one, so that p.m. and e.g. end none.
+    claim = F.split(F.ltrim("content"), r"(?<=[.!?])\s+(?=[\"“«(]*[\p{Lu}\p{Lo}])", 2)[0]
+    units = u.select(F.col("ldu_id").alias("claim_id"), "doc_id", claim.alias("claim"), "content", "content_hash")
+    return agent.audit_within(units, "doc_id").select("claim_id", "status", F.size("provenance_hashes").alias("hashes"))
+
+
 @_query
 def facts_extracted(spark: SparkSession, d: str) -> DataFrame:
     """Numbers with a unit in the text of units."""
