@@ -446,7 +446,7 @@ def repaired(blocks: DataFrame, ldus: DataFrame) -> DataFrame:
     pairs = before.select("kind", "id", "text").mapInPandas(neighbours, "kind string, id bigint, prev string, read string").join(ambiguous, "read")
     chosen = pairs.join(_context(recs, ambiguous), ["prev", "true"]).groupBy("kind", "id", "read").agg(F.max_by("true", F.struct("seen", "n_true", "true")).alias("by_context"))
     fixed = hits.join(plain, "read").join(chosen, ["kind", "id", "read"], "left").select("kind", "id", "read", F.coalesce("by_context", "true").alias("true"))
-    divided = divided_words(recs, found, lex, candidates)
+    divided = materialize(divided_words(recs, found, lex, candidates), "divided")
     compound = found.filter("what = 'h' AND b IS NOT NULL").select("kind", "id", "a", "b").join(divided.select("kind", "id", "a", "b"), ["kind", "id", "a", "b"], "left_anti").select("kind", "id", F.concat_ws("-", "a", "b").alias("read"), F.lit("").alias("true"))
     maps = fixed.unionByName(compound).distinct().groupBy("kind", "id").agg(F.map_from_entries(F.collect_set(F.struct("read", "true"))).alias("fixes"))
     lines = running_lines(found).groupBy("kind", "id").agg(F.collect_set("key").alias("running"))
