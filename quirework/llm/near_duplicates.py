@@ -1,14 +1,16 @@
 """Near-duplicate texts: BK-trees over Hamming distance, in shards of rare shingles, verified exactly.
 
-Texts with the same set of shingles form one class at once; only one representative of each goes on. A fingerprint
-(one bit of each of 128 minima) turns similarity into a Hamming distance. One tree of all texts could neither be broadcast nor
-prune at these radii, so trees are built per shard: in any order of all shingles, two texts of similarity t share
-COMMON of the first n - ceil(t n) + COMMON of each (prefix filter), so every prefix shingle is a shard. The order is by
-rarity, read from a sketch of counts over all texts: of fixed size, and as good as exact counts for the result, since any
-order is right. In a shard a BK-tree keeps children by their integer Hamming distance to the parent and a query follows only
-the edges within the radius, four standard deviations above the distance expected at the threshold. Pairs found in
-COMMON shards are verified on the shingles themselves. Shards of more than BLOCK texts are cut into blocks, a tree each,
-and every text of the shard queries all of them: no group is collected whole.
+Texts with the same set of shingles form one class at once; only one representative of each goes on. A fingerprint has one
+bit for each of PLANES groups of shingles, set where an odd number of the text's shingles falls into the group. A shingle that only one of two texts has
+changes one bit at most, so the Hamming distance is never more than the number of such shingles, and texts of n and m
+shingles and similarity t lie within (n + m)(1 - t)/(1 + t) of each other without exception. One tree of all texts could
+not be broadcast, so trees are built per shard: in any order of all shingles, two texts of similarity t share k of the first
+n - ceil(t n) + k of each (prefix filter), so every prefix shingle is a shard. The order is by rarity, read from a sketch of counts over all texts: of
+fixed size, and as good as exact counts for the result, since any order is right. k is COMMON, less where the shingles that would
+make it so are hot, and never more than the pair must share in all. In a shard a BK-tree, one for each class of sizes, keeps children
+by their integer Hamming distance to the parent and a query follows only the edges within the radius of the two sizes.
+Pairs found in k shards are verified on the shingles themselves. Shards of more than BLOCK texts are hot: they are cut into blocks,
+a tree each, and every text of the shard queries all of them, so no group is collected whole.
 """
 
 from __future__ import annotations
@@ -27,21 +29,24 @@ from pyspark.sql import functions as F
 from quirework.session import broadcast_if_small, materialize, spread
 
 WIDTH, SIMILARITY, LEAST_WORDS = 3, 0.5, 30
-PLANES, BLOCK, COMMON = 128, 2000, 3
+PLANES, BLOCK, COMMON = 192, 2000, 3
+#: Sizes within this factor share a tree.
+SIZE_STEP = 1.15
 #: Buckets of the sketch and pieces it travels in.
 SKETCH, PIECES = 1 << 22, 64
 HASH_BITS = 48
 _WORD = re.compile(r"[^\W_]+")
-_rng = np.random.default_rng(20240229)
-_MASK = _rng.integers(0, 1 << 63, PLANES, dtype=np.uint64)
-_ODD = _rng.integers(0, 1 << 63, PLANES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
-def radius(similarity: float, planes: int = PLANES) -> int:
-    """Four standard deviations above the distance expected of a pair at the threshold."""
-    p = (1 - similarity) / 2
-    return math.ceil(planes * p + 4 * math.sqrt(planes * p * (1 - p)))
+def radius(n: int, m: int, similarity: float) -> int:
+    """The most shingles that only one of two texts of n and m shingles has, at this similarity or more."""
+    return math.floor((n + m) * (1 - similarity) / (1 + similarity) + 1e-9)
+
+
+def least_common(n: int, m: int, similarity: float) -> int:
+    """The fewest shingles two texts of n and m shingles share at this similarity."""
+    return max(1, math.ceil((n + m) * similarity / (1 + similarity) - 1e-9))
 
 
 class Shingler:
@@ -73,16 +78,13 @@ class Shingler:
         return np.unique(out)
 
 
-def fingerprints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit halves of the fingerprint of each set."""
-    flat = np.concatenate(sets)
-    starts = np.r_[0, np.cumsum([len(s) for s in sets])[:-1]]
-    halves = [np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)]
-    for k in range(PLANES):
-        low = np.minimum.reduceat((flat ^ _MASK[k]) * _ODD[k], starts)
-        low = (low ^ (low >> np.uint64(31))) * _P
-        halves[k // 64] |= (low >> np.uint64(63)) << np.uint64(k % 64)
-    return halves[0], halves[1]
+def fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """The fingerprint of each set, a row of PLANES / 64 words: bit k tells whether an odd number of shingles falls into group k."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    h = np.concatenate(sets) * _P
+    group = ((h >> np.uint64(32)) % np.uint64(PLANES)).astype(np.int64)
+    odd = (np.bincount(owner * PLANES + group, minlength=len(sets) * PLANES) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(len(sets), PLANES), axis=1).view(np.uint64)
 
 
 class BKTree:
@@ -179,9 +181,38 @@ def representatives(members: DataFrame, texts: DataFrame, key: str = "ldu_id", t
     return texts.select(F.col(key).alias("rep"), F.col(text).alias("t")).join(reps, "rep", "left_semi").groupBy("rep").agg(F.max("t").alias("t"))
 
 
-def candidate_pairs(reps: DataFrame, sketch: np.ndarray, similarity: float = SIMILARITY, width: int = WIDTH, least_words: int = LEAST_WORDS, block: int = BLOCK, common: int = COMMON) -> DataFrame:
-    """(a, b), a < b: representatives that meet in at least common shards, by BK-tree within the radius and by length."""
-    kind = reps.schema["rep"].dataType.simpleString()
+class Trees:
+    """The trees of one shard and block, one for each class of sizes. Items are (key, shingles, k)."""
+
+    def __init__(self, similarity: float):
+        self.t, self.trees = similarity, {}
+
+    def _class(self, n: float) -> int:
+        return int(math.log(n) / math.log(SIZE_STEP))
+
+    def add(self, fingerprint: int, item: tuple) -> None:
+        c = self._class(item[1])
+        tree = self.trees.get(c)
+        if tree is None:
+            tree = self.trees[c] = [BKTree(), item[1]]
+        tree[0].add(fingerprint, item)
+        tree[1] = max(tree[1], item[1])
+
+    def near(self, fingerprint: int, n: int) -> Iterator[tuple]:
+        """Items of sizes within the similarity whose fingerprint lies within the radius of the class."""
+        if len(self.trees) == 1:
+            hit = self.trees.values()
+        else:
+            lo, hi = self._class(self.t * n) - 1, self._class(n / self.t) + 1
+            hit = [x for c, x in self.trees.items() if lo <= c <= hi]
+        for tree, most in hit:
+            for item in tree.within(fingerprint, radius(n, most, self.t)):
+                if min(n, item[1]) >= self.t * max(n, item[1]) - 1e-9:
+                    yield item
+
+
+def _deal(similarity: float, width: int, least_words: int, block: int, common: int, sketch: np.ndarray):
+    words = [f"f{i}" for i in range(PLANES // 64)]
 
     def deal(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cut = Shingler(width, least_words)
@@ -194,67 +225,83 @@ def candidate_pairs(reps: DataFrame, sketch: np.ndarray, similarity: float = SIM
                     sets.append(s)
             if not sets:
                 continue
-            f1, f2 = fingerprints(sets)
-            taken, sizes = [], []
+            prints = fingerprints(sets).view(np.int64)
+            taken, sizes, ks = [], [], []
             for s in sets:
                 n = len(s)
-                prefix = min(n, n - math.ceil(similarity * n - 1e-9) + common)
                 c = sketch[s & np.uint64(SKETCH - 1)]
                 # Ties of the count are broken by the hash, the same for all texts; what occurs once meets nothing.
-                order = np.lexsort((s, c))[:prefix]
+                order = np.lexsort((s, c))[: n - math.ceil(similarity * n - 1e-9) + common]
+                core = n - math.ceil(similarity * n - 1e-9) + 1
+                more = order[core:][times(c[order[core:]]) <= block]  # hot shingles only where one meeting needs them
+                ks.append(common if core + len(more) == n else 1 + len(more))
+                order = np.r_[order[:core], more]
                 order = order[c[order] > 1]
                 taken.append(s[order])
                 sizes.append(len(order))
             h = np.concatenate(taken)
             row = np.repeat(np.arange(len(sets)), sizes)
-            c = sketch[h & np.uint64(SKETCH - 1)].astype(np.int64)
-            most = np.where(c < 64, c, 64 * 2 ** ((c - 63) / 8.0))
-            blocks = np.maximum(np.ceil(most / block), 1).astype(np.int64)
+            blocks = np.maximum(np.ceil(times(sketch[h & np.uint64(SKETCH - 1)]) / block), 1).astype(np.int64)
             mix = np.array([xxhash.xxh3_64_intdigest(str(k)) >> 1 for k in keys], np.int64)[row]
             own = mix % blocks
             again = np.repeat(np.arange(len(h)), own + 1)
             at = np.arange(len(again)) - np.repeat(np.r_[0, np.cumsum(own + 1)[:-1]], own + 1)
             who = row[again]
-            n = np.array([len(s) for s in sets], np.int32)
-            yield pd.DataFrame({"h": (h >> np.uint64(64 - HASH_BITS)).astype(np.int64)[again], "place": (at * 2 + (at < own[again])).astype(np.int32), "rep": np.array(keys)[who], "n": n[who], "f1": f1.view(np.int64)[who], "f2": f2.view(np.int64)[who]})
+            n = np.array([len(s) for s in sets], np.int32) * 4 + np.array(ks, np.int32)
+            yield pd.DataFrame({"h": (h >> np.uint64(64 - HASH_BITS)).astype(np.int64)[again], "place": (at * 2 + (at < own[again])).astype(np.int32), "rep": np.array(keys)[who], "n": n[who], **{w: prints[who, i] for i, w in enumerate(words)}})
+
+    return deal
+
+
+def times(count: np.ndarray) -> np.ndarray:
+    """What a count of the sketch stands for."""
+    c = count.astype(np.int64)
+    return np.where(c < 64, c, 64 * 2 ** ((c - 63) / 8.0))
 
-    r = radius(similarity)
+
+def candidate_pairs(reps: DataFrame, sketch: np.ndarray, similarity: float = SIMILARITY, width: int = WIDTH, least_words: int = LEAST_WORDS, block: int = BLOCK, common: int = COMMON) -> DataFrame:
+    """(a, b), a < b: representatives that meet in as many shards as such a pair must (at most common), by BK-tree within the radius and by length."""
+    kind = reps.schema["rep"].dataType.simpleString()
+    words = [f"f{i}" for i in range(PLANES // 64)]
 
     def trees(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         group, tree, alone = None, None, None
         for pdf in it:
             a: list = []
             b: list = []
+            need: list = []
             shard = pdf["h"].to_numpy() * 1024 + (pdf["place"].to_numpy() >> 1) % 1024
             same = np.r_[False, shard[1:] == shard[:-1]]
             # Rows alone in their shard have nothing to meet; the first and last may go on in another batch.
             busy = same | np.r_[same[1:], True]
             busy[0] = True
             part = pdf[busy]
-            halves = zip(part["f1"].to_numpy().view(np.uint64).tolist(), part["f2"].to_numpy().view(np.uint64).tolist(), strict=True)
-            for h, place, rep, n, (x, y) in zip(part["h"].tolist(), part["place"].tolist(), part["rep"].tolist(), part["n"].tolist(), halves, strict=True):
-                fp = x << 64 | y
+            raw, step = np.ascontiguousarray(part[words].to_numpy()).tobytes(), PLANES // 8
+            prints = [int.from_bytes(raw[i : i + step], "little") for i in range(0, len(raw), step)]
+            for h, place, rep, nk, fp in zip(part["h"].tolist(), part["place"].tolist(), part["rep"].tolist(), part["n"].tolist(), prints, strict=True):
+                n, k = nk >> 2, nk & 3
                 node = not place & 1
                 if group != (h, place >> 1):
-                    group, tree, alone = (h, place >> 1), None, (fp, rep, n)
+                    group, tree, alone = (h, place >> 1), None, (fp, (rep, n, k))
                     if not node:
-                        tree, alone = BKTree(), None
+                        tree, alone = Trees(similarity), None
                     continue
                 if tree is None:
-                    tree = BKTree()
-                    tree.add(alone[0], alone[1:])
-                for other, m in tree.within(fp, r):
-                    if other != rep and min(n, m) >= similarity * max(n, m) - 1e-9:
+                    tree = Trees(similarity)
+                    tree.add(*alone)
+                for other, m, j in tree.near(fp, n):
+                    if other != rep:
                         a.append(min(rep, other))
                         b.append(max(rep, other))
+                        need.append(min(k, j, least_common(n, m, similarity)))
                 if node:
-                    tree.add(fp, (rep, n))
-            yield pd.DataFrame({"a": a, "b": b}).astype({"a": pdf["rep"].dtype, "b": pdf["rep"].dtype})
+                    tree.add(fp, (rep, n, k))
+            yield pd.DataFrame({"a": a, "b": b, "need": need}).astype({"a": pdf["rep"].dtype, "b": pdf["rep"].dtype, "need": "int32"})
 
-    dealt = spread(reps).mapInPandas(deal, f"h bigint, place int, rep {kind}, n int, f1 bigint, f2 bigint")
+    dealt = spread(reps).mapInPandas(_deal(similarity, width, least_words, block, common, sketch), f"h bigint, place int, rep {kind}, n int, {', '.join(w + ' bigint' for w in words)}")
     # Within a shard and block the nodes (even places) come first, then the texts of later blocks that query the tree.
-    met = dealt.repartition(F.col("h"), F.floor(F.col("place") / 2)).sortWithinPartitions("h", "place", "rep").mapInPandas(trees, f"a {kind}, b {kind}")
-    return met.groupBy("a", "b").agg(F.count("*").alias("c")).filter(F.col("c") >= common).select("a", "b")
+    met = dealt.repartition(F.col("h"), F.floor(F.col("place") / 2)).sortWithinPartitions("h", "place", "rep").mapInPandas(trees, f"a {kind}, b {kind}, need int")
+    return met.groupBy("a", "b").agg(F.count("*").alias("c"), F.min("need").alias("need")).filter(F.col("c") >= F.col("need")).select("a", "b")
 
 
 def verified_pairs(pairs: DataFrame, reps: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -289,10 +336,14 @@ def near_duplicates(texts: DataFrame, key: str = "ldu_id", text: str = "content"
     return materialize(members, "members"), materialize(verified_pairs(pairs, reps, similarity, width, least_words), "links")
 
 
-def all_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: links and classes written out member by member."""
+def all_pairs(members: DataFrame, links: DataFrame, share: int = 1000) -> DataFrame:
+    """(id_a, id_b), id_a < id_b: links and classes written out member by member; a class of many copies is dealt to parts of about share."""
+    sizes = members.groupBy("rep").agg(F.count("*").alias("size")).filter("size > 1")
+    m = members.select("id", "rep").join(sizes.select("rep", F.ceil(F.col("size") / share).cast("int").alias("parts")), "rep")
+    one = m.select("rep", F.col("id").alias("i"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
+    every = m.select("rep", F.col("id").alias("j"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    same = one.join(every, ["rep", "part"]).filter("i < j").select(F.col("i").alias("id_a"), F.col("j").alias("id_b"))
     m = members.select("id", "rep")
-    same = m.alias("x").join(m.alias("y"), F.col("x.rep") == F.col("y.rep")).filter(F.col("x.id") < F.col("y.id")).select(F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b"))
     left = links.select("a", "b").join(m.select(F.col("id").alias("i"), F.col("rep").alias("a")), "a").join(m.select(F.col("id").alias("j"), F.col("rep").alias("b")), "b")
     return same.unionByName(left.select(F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b")))
 

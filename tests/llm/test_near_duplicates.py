@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,6 +51,30 @@ def test_pairs_against_brute_force(spark, block):
         assert info[k]["group_id"] == min(reach)
 
 
+def test_small_sets_and_hot_shingles(spark):
+    """Periodic texts have one to six shingles; one phrase stands in every text, so its shingles are hot with small blocks."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(([f"p{rng.randrange(3)}" for _ in range(rng.randint(1, 3))] * 40)[: rng.randint(30, 45)] + [rng.choice("xyz") for _ in range(rng.randint(0, 2))])) for i in range(60)]
+    phrase = " ".join(f"h{i}" for i in range(30))
+    rows += [(100 + i, phrase + " " + " ".join(f"u{rng.randrange(60)}" for _ in range(rng.randint(5, 40)))) for i in range(40)]
+    sets = {k: shingles(t) for k, t in rows}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.5}
+    assert min(len(s) for s in sets.values()) <= 2 and len(want) > 100
+    df = spark.createDataFrame(rows, SCHEMA)
+    for block in (2000, 4):
+        got = [tuple(r) for r in N.all_pairs(*N.near_duplicates(df, block=block), share=5).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_fingerprints_never_lie_further_apart_than_the_sets():
+    rng = random.Random(3)
+    for _ in range(50):
+        a, b = ({rng.getrandbits(64) for _ in range(rng.randint(1, 200))} for _ in range(2))
+        b |= set(rng.sample(sorted(a), len(a) // 2))
+        x, y = N.fingerprints([np.array(sorted(s), np.uint64) for s in (a, b)])
+        assert sum(int(i ^ j).bit_count() for i, j in zip(x, y, strict=True)) <= len(a ^ b)
+
+
 def test_tree_finds_all_within_the_radius():
     rng = random.Random(2)
     tree, items = N.BKTree(), [rng.getrandbits(16) for _ in range(300)]
