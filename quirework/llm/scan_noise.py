@@ -2,8 +2,9 @@
 
 A lexicon with frequencies is counted over all records. A symmetric-delete index over it gives correction candidates
 (both sides drop characters until they meet), a weighted edit distance with confusion pairs ranks them, and counts of
-neighbouring words choose between equals. Words are judged once by type, however often they occur; records are then
-scanned for the types found wrong, behind a filter of fixed size, and joined to them exactly.
+neighbouring words choose between equals. Words and numbers are judged once by type, however often they occur, and only what is rare beside a word or number of
+the lexicon within the cost is taken for a misreading; records are then scanned for the types found wrong, behind a
+filter of bounded size, and joined to them exactly.
 """
 
 from __future__ import annotations
@@ -24,18 +25,27 @@ from quirework.session import materialize, spread
 CONFUSIONS = {("o", "0"), ("l", "1"), ("s", "5"), ("b", "8"), ("g", "9"), ("a", "@"), ("i", "!"), ("i", "í"), ("e", "c"), ("t", "f"), ("y", "v"), ("n", "ri"), ("u", "ii"), ("d", "cl"), ("h", "li"), ("m", "rn"), ("i", "l"), ("i", "1"), ("w", "vv"), ("z", "2")}
 CONFUSED, OTHER, MOST_COST = 0.25, 1.0, 0.6
 LEAST_COUNT, LEAST_RATIO, LEAST_LENGTH = 3, 3, 4
-BITS = 1 << 20
+#: Shape of a line that may be a header or footer: one of a word or less is a number or a mark, a longer one is running text.
+LINE_CHARS, LINE_WORDS = (8, 160), (2, 15)
+#: Bits of the filter of types: BITS_A_TYPE each, within these bounds. Beyond them it only lets more through to the exact join.
+LEAST_BITS, MOST_BITS, BITS_A_TYPE = 1 << 20, 1 << 26, 16
+#: Share of the types with a letter in a number that must have it between digits, before the letter counts as a misread
+#: digit at an edge too: a unit (10B) only stands last, a code (B12) only first.
+EDGE_SHARE = 0.1
 
 _TOKEN = re.compile(r"[^\s\"“”«»(),;:?….|*\[\]]+(?:\.(?=\d)[^\s\"“”«»(),;:?….|*\[\]]+)*")
 _DIVIDED = re.compile("([\\w@!'’]*[\\w@!])[-­‐][^\\S\n]*\n\\s*([\\w@!]+)")
 _HYPHEN = re.compile("([\\w@!'’]*[^\\W\\d_][\\w@!]*)[-­‐][^\\S\n]*(?:\n|$)")
 _NEXT = re.compile(r"[\w@!]+")
 _NUMBER = re.compile(r"(?=.*\d)(?=.*[OlISB])[-+$]?[\dOlISB]+(?:[.,/'-][\dOlISB]+)*%?$")
+#: Where a mark or digit may stand for a letter: in a word, not in front of one as a number is.
 _MARKED = re.compile(r"@|!(?=[^\W\d_])|í|[^\W\d_][01589](?=[^\W\d_]|[01589]*$|['’])|^[01589](?=[^\W\d_]{3})")
 _N = r"[\dOlIS]{1,4}"
 _PAGE = re.compile(rf"\s*(?:(?:page|p\.|pg\.?|seite|pagina|página)\s*\|?\s*{_N}(?:\s*(?:of|/|de|von)\s*{_N})?|[-–—]\s*{_N}\s*[-–—]|\[\s*{_N}\s*\]|{_N}|{_N}\s*/\s*{_N}|(?=[ivxl])x{{0,3}}(?:ix|iv|v?i{{0,3}})|(?=[IVXL])X{{0,3}}(?:IX|IV|V?I{{0,3}}))\s*$", re.I)
 _EDGE_NUMBER = re.compile(rf"^\s*{_N}\s{{1,}}(?=[^\W\d_])|\s{{2,}}{_N}\s*$|\s+\|\s*{_N}\s*$|^\s*{_N}\s*\|\s*")
 _PLAIN = str.maketrans("0158@!í9", "olsbaiig")
+# The letters read for digits, and those digits.
+_READ, _DIGIT = "OlISB", "01158"
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: One form of every confusion, so that a line is the same however it was read.
 _ALIKE = [("rn", "m"), ("cl", "d"), ("li", "h"), ("ii", "u"), ("ri", "n"), ("vv", "w"), ("c", "e"), ("f", "t"), ("v", "y")]
@@ -89,18 +99,37 @@ def hyphened(text: str) -> bool:
 
 
 def marked(token: str) -> bool:
-    """Whether the token shows a misrecognised character by itself: a digit or mark in a word, a letter in a number."""
-    if token.isalpha() and token.isascii():
+    """Whether the token has a digit or mark where a word has a letter. That alone is no misreading: a word of the lexicon must stand behind it."""
+    if token.isalpha() and token.isascii() or token.isdigit():
         return False
-    if token.isdigit():
-        return False
-    if _NUMBER.match(token):
-        return True
-    return _MARKED.search(token) is not None and len(_LETTERS.findall(token)) > 0 and sum(c.isalpha() for c in token) >= 3
+    return _MARKED.search(token) is not None and sum(c.isalpha() for c in token) >= 3
+
+
+def plain(token: str) -> set[str]:
+    """The words a marked token may be read from: every mark as the letter it stands for."""
+    return {token.translate(_PLAIN), token.replace("1", "i").translate(_PLAIN)} - {token}
+
+
+_AROUND = "'’!-–—.%$<>{}=+&#~`_^/\\"
 
 
 def word(token: str) -> str:
-    return token.strip("'’!-–—.%$<>{}=+&#~`_^/\\").lower()
+    return token.strip(_AROUND).lower()
+
+
+def number(token: str) -> str | None:
+    """The number a token is, misread letters and all; null for a word, or where letters outnumber the digits."""
+    t = token.strip(_AROUND)
+    if t.isdigit():
+        return t
+    if t[:1] in "0123456789OlISB" and _NUMBER.match(t) and sum(c.isdigit() for c in t) >= sum(c.isalpha() for c in t):
+        return t
+    return None
+
+
+def form(token: str) -> str:
+    """What a token is counted as: its number, else its word."""
+    return number(token) or word(token)
 
 
 def records(blocks: DataFrame, ldus: DataFrame) -> DataFrame:
@@ -116,15 +145,15 @@ _SCAN = "what string, kind string, id bigint, a string, b string, page int, sour
 
 
 def _header_key(line: str) -> str | None:
-    """The line as alike() has it if it may be a header or footer, else None."""
-    if not 8 <= len(line) <= 160 or "|" in line[1:-1] or (s := line.rstrip())[-1:] in ".?!;,:\"”»" or line[:1].islower():
+    """The line as alike() has it if it may be a header or footer, else None: of LINE_CHARS and LINE_WORDS, no sentence, nothing that begins in small letters."""
+    if not LINE_CHARS[0] <= len(line) <= LINE_CHARS[1] or "|" in line[1:-1] or (s := line.rstrip())[-1:] in ".?!;,:\"”»" or line[:1].islower():
         return None
     key = alike(s)
-    return key if 1 <= key.count(" ") <= 14 else None
+    return key if LINE_WORDS[0] <= key.count(" ") + 1 <= LINE_WORDS[1] else None
 
 
 def _scan(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One pass: w(ord, count), h(yphen: first and second part), l(ine that may be a header), f(urniture: page number), m(arked token)."""
+    """One pass: w(ord, count), n(umber, count), h(yphen: first and second part), l(ine that may be a header), f(urniture: page number)."""
     count: Counter[str] = Counter()
     for pdf in it:
         out: list[tuple] = []
@@ -137,36 +166,34 @@ def _scan(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     ctx = xxhash.xxh3_64_intdigest(text[text.rfind("\n", 0, m.start()) + 1 : m.end()] + "\n" + line) - (1 << 63)
                     out.append(("h", kind, id_, word(m.group(1)), word(nxt.group()) if nxt else None, page, "U" if m.group(1)[:1].isupper() else None, 1, doc, ctx, _header_key(line)))
             for line in text.split("\n"):
-                size = len(line)
-                if size <= 24 and _PAGE.match(line) and not line.isspace() and line:
+                if _page_number(line):
                     out.append(("f", kind, id_, None, None, page, None, 1, None, None, None))
-                elif 8 <= size <= 160 and (key := _header_key(line)) is not None:
+                elif (key := _header_key(line)) is not None:
                     out.append(("l", kind, id_, doc, key, page, source, 1, None, None, None))
-            found = tokens(text)
-            bad = False
-            for t in found:
-                if not t.isalpha() or not t.isascii():
-                    if not bad and marked(t):
-                        bad = True
-                        out.append(("m", kind, id_, None, None, page, None, 1, None, None, None))
-            count.update(map(str.lower, found))
+            count.update(tokens(text))
         if len(count) > 300_000:
-            out += [("w", None, None, w, None, None, None, n, None, None, None) for w, n in _clean(count).items()]
+            out += _clean(count)
             count.clear()
         if out:
             yield pd.DataFrame(out, columns=_COLUMNS).astype({"id": "Int64", "page": "Int32", "ctx": "Int64"})
     if count:
-        yield pd.DataFrame([("w", None, None, w, None, None, None, n, None, None, None) for w, n in _clean(count).items()], columns=_COLUMNS).astype({"id": "Int64", "page": "Int32", "ctx": "Int64"})
+        yield pd.DataFrame(_clean(count), columns=_COLUMNS).astype({"id": "Int64", "page": "Int32", "ctx": "Int64"})
 
 
-def _clean(count: Counter) -> Counter:
-    """Counts by word: surrounding marks off, no numbers, nothing of one character."""
-    out: Counter[str] = Counter()
+def _clean(count: Counter) -> list[tuple]:
+    """Rows of w and n by word and number: surrounding marks off, nothing of one character."""
+    words_: Counter[str] = Counter()
+    numbers: Counter[str] = Counter()
     for t, n in count.items():
-        w = word(t)
-        if len(w) > 1 and not w.isdigit() and any(c.isalpha() for c in w):
-            out[w] += n
-    return out
+        if (x := number(t)) is not None:
+            numbers[x] += n
+        elif len(w := word(t)) > 1 and any(c.isalpha() for c in w):
+            words_[w] += n
+    return [(what, None, None, w, None, None, None, n, None, None, None) for what, found in (("w", words_), ("n", numbers)) for w, n in found.items()]
+
+
+def _page_number(line: str) -> bool:
+    return _PAGE.match(line) is not None and bool(line) and not line.isspace()
 
 
 def scan(recs: DataFrame) -> DataFrame:
@@ -179,31 +206,37 @@ def lexicon(found: DataFrame) -> DataFrame:
     return found.filter("what = 'w'").groupBy(F.col("a").alias("word")).agg(F.sum("n").alias("n"))
 
 
+def _drops(w: str, pairs: bool) -> set[str]:
+    """w with two neighbouring characters dropped: any two, or only those that may be read as one."""
+    return {w[:i] + w[i + 2 :] for i in range(len(w) - 1) if not pairs or w[i : i + 2] in _PAIRS}
+
+
 def _deletes(index: bool):
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             out = []
             for w, n in zip(pdf["word"], pdf["n"], strict=True):
-                keys = {w[:i] + w[i + 1 :] for i in range(len(w))}
-                if index:
-                    keys |= {w[:i] + w[i + 2 :] for i in range(len(w) - 1) if w[i : i + 2] in _PAIRS}
-                else:
-                    keys |= {w[:i] + w[i + 2 :] for i in range(len(w) - 1)} | {w}
+                keys = {w[:i] + w[i + 1 :] for i in range(len(w))} | _drops(w, index)
+                if not index:
+                    keys.add(w)
+                    if marked(w):
+                        keys |= {p[:i] + p[i + 1 :] for p in plain(w) for i in range(len(p))}
                 out += [(xxhash.xxh3_64_intdigest(k) - (1 << 63), w, n) for k in keys]
             yield pd.DataFrame(out, columns=["k", "word", "n"])
 
     return run
 
 
-def corrections(lex: DataFrame, least_count: int = LEAST_COUNT, ratio: float = LEAST_RATIO, most_cost: float = MOST_COST) -> DataFrame:
+def corrections(lex: DataFrame, least_count: int = LEAST_COUNT, ratio: float = LEAST_RATIO, most_cost: float = MOST_COST, least_length: int = LEAST_LENGTH) -> DataFrame:
     """(read, true, cost, n_true): candidates for words that are rare beside a word they can be misread from.
 
-    Words of fewer than LEAST_LENGTH characters are not judged. The index holds the words seen at least least_count times
-    with one character dropped, or two that may be read as one (rn as m); a word is looked up with one or two neighbouring
-    characters dropped.
+    Words of fewer than least_length characters are not judged: nearly every one lies within the cost of another. The index
+    holds the words seen at least least_count times with one character dropped, or two that may be read as one (rn as m); a word is looked up with one
+    or two neighbouring characters dropped, a marked one also with its marks as letters. As a digit or mark within a word
+    is a sign by itself, such a word may be as frequent as the word behind it; the letter í is none, for languages write it.
     """
-    long = lex.filter(F.length("word") >= LEAST_LENGTH)
-    true = long.filter(F.col("n") >= least_count).filter(~F.col("word").rlike("[0-9@!í]")).mapInPandas(_deletes(True), "k bigint, word string, n bigint").select("k", F.col("word").alias("true"), F.col("n").alias("n_true"))
+    long = lex.filter(F.length("word") >= least_length)
+    true = long.filter(F.col("n") >= least_count).filter(~F.col("word").rlike("[0-9@!]")).mapInPandas(_deletes(True), "k bigint, word string, n bigint").select("k", F.col("word").alias("true"), F.col("n").alias("n_true"))
     read = long.mapInPandas(_deletes(False), "k bigint, word string, n bigint").select("k", F.col("word").alias("read"), "n")
     near = read.join(true, "k").filter((F.col("read") != F.col("true")) & (F.col("n_true") >= ratio * F.col("n"))).select("read", "true", "n_true").distinct()
 
@@ -212,15 +245,54 @@ def corrections(lex: DataFrame, least_count: int = LEAST_COUNT, ratio: float = L
             pdf["cost"] = [distance(a, b, merged=True) for a, b in zip(pdf["true"], pdf["read"], strict=True)]
             yield pdf[pdf["cost"] <= most_cost]
 
-    return near.mapInPandas(weigh, "read string, true string, n_true bigint, cost double")
+    def letters(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            rows = [(p, w, n, CONFUSED * sum(a != b for a, b in zip(p, w, strict=True)), w.translate(_DIACRITIC) == p) for w, n in zip(pdf["word"], pdf["n"], strict=True) if marked(w) for p in plain(w)]
+            yield pd.DataFrame(rows, columns=["word", "read", "n_read", "cost", "only_i"])
+
+    signs = long.filter(F.col("word").rlike("[0-9@!í]")).mapInPandas(letters, "word string, read string, n_read bigint, cost double, only_i boolean")
+    behind = signs.join(lex, "word").filter(F.when(F.col("only_i"), (F.col("n") >= least_count) & (F.col("n") >= ratio * F.col("n_read"))).otherwise(F.col("n") >= F.col("n_read")))
+    both = near.mapInPandas(weigh, "read string, true string, n_true bigint, cost double").unionByName(behind.select("read", F.col("word").alias("true"), F.col("n").alias("n_true"), "cost"))
+    return both.groupBy("read", "true").agg(F.max("n_true").alias("n_true"), F.min("cost").alias("cost"))
+
+
+_DIACRITIC = str.maketrans("í", "i")
 
 
-def _bits(words_: DataFrame, column: str) -> bytes:
-    """A bitmap of BITS bits with the hash of every word set: of fixed size, however many words there are."""
-    at = F.pmod(F.crc32(column), F.lit(BITS)).cast("long")
-    rows = words_.select(at.alias("p")).groupBy(F.floor(F.col("p") / 32768).alias("b")).agg(F.expr("bitmap_construct_agg(p % 32768)").alias("m")).collect()
-    out = bytearray(BITS // 8)
-    for r in rows:
+def number_corrections(found: DataFrame, least_count: int = LEAST_COUNT, ratio: float = LEAST_RATIO, edge_share: float = EDGE_SHARE) -> DataFrame:
+    """(read, true, cost, n_true): numbers with letters in them that are rare beside the number with the digits in their place.
+
+    As every row of digits is a number, one whose letters all stand between digits may also be rare by itself (fewer than least_count).
+    A letter at an edge is also a unit (10B) or a code (B12). It is judged only if edge_share of the letter's types at least have it
+    between digits, as a misread digit stands anywhere.
+    """
+    counted = found.filter("what = 'n'").groupBy("a").agg(F.sum("n").alias("n"))
+    read = counted.filter(F.col("a").rlike(f"[{_READ}]")).select(F.col("a").alias("read"), F.col("n").alias("n_read"))
+    true = counted.filter(~F.col("a").rlike(f"[{_READ}]")).select(F.col("a").alias("true"), F.col("n").alias("n_true"))
+    at = lambda i: F.when(i == 1, "first").when(i == F.length("read"), "last").otherwise("inner")
+    places = read.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("read")), lambda i: F.struct(F.substring("read", i, F.lit(1)).alias("c"), at(i).alias("at")))).alias("x")).filter(F.col("x.c").rlike(f"[{_READ}]"))
+    # A row a letter and place: fifteen at most.
+    types: dict[str, Counter] = {}
+    for r in places.groupBy("x.c", "x.at").agg(F.count("*").alias("n")).collect():
+        types.setdefault(r["c"], Counter())[r["at"]] += r["n"]
+    sure = "".join(c for c in _READ if c in types and types[c]["inner"] >= max(1, edge_share * types[c].total()))
+    unsure = "".join(c for c in _READ if c not in sure)
+    pairs = read.withColumn("true", F.translate("read", _READ, _DIGIT)).join(true, "true", "left").withColumn("n_true", F.coalesce("n_true", F.lit(0)))
+    inner = (F.col("n_read") < least_count) & F.col("read").rlike(r"^[0-9].*[0-9]$") & ~F.col("read").rlike(f"[{_READ}][^0-9{_READ}]|[^0-9{_READ}][{_READ}]")
+    pairs = pairs.filter((F.col("n_true") >= ratio * F.col("n_read")) | inner)
+    if unsure:
+        pairs = pairs.filter(~F.col("read").rlike(f"^[{unsure}]|[{unsure}]$"))
+    return pairs.select("read", "true", "n_true", (CONFUSED * F.length(F.regexp_replace("read", f"[^{_READ}]", ""))).alias("cost"))
+
+
+def _filter(types: DataFrame, column: str) -> bytes:
+    """A bitmap with the hash of every type set: BITS_A_TYPE bits a type, a power of two within LEAST_BITS and MOST_BITS."""
+    bits, n = LEAST_BITS, types.count()
+    while bits < min(MOST_BITS, BITS_A_TYPE * n):
+        bits *= 2
+    at = F.pmod(F.crc32(column), F.lit(bits)).cast("long")
+    out = bytearray(bits // 8)
+    for r in types.select(at.alias("p")).groupBy(F.floor(F.col("p") / 32768).alias("b")).agg(F.expr("bitmap_construct_agg(p % 32768)").alias("m")).toLocalIterator():
         out[int(r["b"]) * 4096 : int(r["b"]) * 4096 + 4096] = bytes(r["m"])
     return bytes(out)
 
@@ -229,15 +301,15 @@ def occurrences(recs: DataFrame, types: DataFrame, column: str = "read") -> Data
     """(kind, id, column) of the records that hold one of the types: a pass behind a bitmap, then an exact join."""
     import zlib
 
-    bits = _bits(types, column)
+    bits = _filter(types.select(column).distinct(), column)
 
     def look(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        size, crc, known = BITS, zlib.crc32, {}
+        size, crc, known = 8 * len(bits), zlib.crc32, {}
 
         def test(t: str) -> str | None:
-            w = word(t)
+            w = form(t)
             p = crc(w.encode()) % size
-            return w if len(w) >= LEAST_LENGTH and bits[p >> 3] >> (p & 7) & 1 else None
+            return w if bits[p >> 3] >> (p & 7) & 1 else None
 
         for pdf in it:
             if len(known) > 500_000:
@@ -300,7 +372,7 @@ def _continued(recs: DataFrame, unsure: DataFrame, headers: DataFrame) -> DataFr
             out = []
             for kind, id_, doc, place, text, running, parts in zip(pdf["kind"], pdf["id"], pdf["doc_id"], pdf["place"], pdf["text"], pdf["running"], pdf["parts"], strict=True):
                 skip = set() if running is None else set(running)
-                kept = "\n".join(x for x in text.split("\n") if x.strip() and not _PAGE.match(x) and not (skip and _header_key(x) in skip))
+                kept = "\n".join(x for x in text.split("\n") if x.strip() and not _page_number(x) and not (skip and _header_key(x) in skip))
                 start = _NEXT.search(kept)
                 cuts = []
                 for m in _HYPHEN.finditer(kept) if parts is not None else ():
@@ -311,8 +383,21 @@ def _continued(recs: DataFrame, unsure: DataFrame, headers: DataFrame) -> DataFr
             yield pd.DataFrame(out, columns=["kind", "id", "doc_id", "place", "start", "cuts"]).astype({"place": "Int32"})
 
     seen = rows.mapInPandas(look, "kind string, id bigint, doc_id string, place int, start string, cuts array<struct<a:string,b:string>>")
-    after = Window.partitionBy("kind", "doc_id").orderBy(F.desc("place"), F.desc("id")).rowsBetween(Window.unboundedPreceding, -1)
-    return seen.withColumn("next", F.last("start", ignorenulls=True).over(after)).select("kind", "id", "next", F.explode("cuts").alias("c")).select("kind", "id", "c.a", F.coalesce("c.b", "next").alias("b"))
+    return following(materialize(seen, "starts"), "start").select("kind", "id", "next", F.explode("cuts").alias("c")).select("kind", "id", "c.a", F.coalesce("c.b", "next").alias("b"))
+
+
+def following(rows: DataFrame, value: str, span: int = 64) -> DataFrame:
+    """rows (kind, id, doc_id, place) with next: the first value that is not null after each row in the order of place, then id, within its file; rows without place come last.
+
+    In stretches of span places: within each, then over the stretches, so that a file of any size is never one window.
+    """
+    at = F.coalesce(F.col("place").cast("bigint"), F.col("id"))
+    placed = rows.withColumn("_part", F.struct(F.col("place").isNull().alias("last"), F.floor(at / span).alias("n"))).withColumn("_at", F.struct(at.alias("at"), "id"))
+    back = lambda key, order: Window.partitionBy(*key).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    within = placed.withColumn("_near", F.last(value, ignorenulls=True).over(back(["kind", "doc_id", "_part"], ["_at"])))
+    heads = placed.groupBy("kind", "doc_id", "_part").agg(F.min_by(value, F.when(F.col(value).isNotNull(), F.col("_at"))).alias("_head"))
+    heads = heads.withColumn("_far", F.last("_head", ignorenulls=True).over(back(["kind", "doc_id"], ["_part"]))).drop("_head")
+    return within.join(heads, ["kind", "doc_id", "_part"], "left").withColumn("next", F.when(F.col("doc_id").isNotNull(), F.coalesce("_near", "_far"))).drop("_part", "_at", "_near", "_far")
 
 
 def _lines(found: DataFrame, least_pages: int, least_files: int, least_share: float) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -345,10 +430,9 @@ def defects(blocks: DataFrame, ldus: DataFrame) -> DataFrame:
     recs = records(blocks, ldus)
     found = scan(recs)
     lex = materialize(lexicon(found), "lexicon")
-    fixes = materialize(corrections(lex), "fixes")
+    fixes = materialize(corrections(lex).unionByName(number_corrections(found)), "fixes")
     parts = [
         divided_words(recs, found, lex, fixes).select("kind", "id", F.lit("hyphen").alias("defect")),
-        found.filter("what = 'm'").select("kind", "id", F.lit("misread").alias("defect")),
         occurrences(recs, fixes).select("kind", "id", F.lit("misread").alias("defect")),
         found.filter("what = 'f'").select("kind", "id", F.lit("furniture").alias("defect")),
         running_lines(found).select("kind", "id", F.lit("furniture").alias("defect")),
@@ -363,15 +447,15 @@ def _context(recs: DataFrame, ambiguous: DataFrame) -> DataFrame:
     """(prev, true, seen): how often a candidate of an ambiguous word follows another word, counted over all records."""
     import zlib
 
-    bits = _bits(ambiguous.select("true").distinct(), "true")
+    bits = _filter(ambiguous.select("true").distinct(), "true")
 
     def look(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         count: Counter[tuple[str, str]] = Counter()
         for pdf in it:
             for text in pdf["text"]:
-                ws = [word(t) for t in tokens(text)]
+                ws = [form(t) for t in tokens(text)]
                 for a, b in zip(ws, ws[1:], strict=False):
-                    p = zlib.crc32(b.encode()) % BITS
+                    p = zlib.crc32(b.encode()) % (8 * len(bits))
                     if bits[p >> 3] >> (p & 7) & 1:
                         count[a, b] += 1
             if len(count) > 200_000:
@@ -385,24 +469,22 @@ def _context(recs: DataFrame, ambiguous: DataFrame) -> DataFrame:
 def _apply(text: str, running: list[str], fixes: dict[str, str]) -> str:
     """One record repaired: furniture left out, words put together and corrected, lines joined to paragraphs."""
     skip = set(running)
-    kept = [x for x in text.split("\n") if not (x.strip() and len(x) <= 24 and _PAGE.match(x)) and not (skip and alike(x.rstrip()) in skip)]
+    kept = [x for x in text.split("\n") if not _page_number(x) and not (skip and alike(x.rstrip()) in skip)]
     out = "\n".join(kept)
     if hyphened(out):
         out = _DIVIDED.sub(lambda m: m.group(1) + ("-" if (word(m.group(1)) + "-" + word(m.group(2))) in fixes else "") + m.group(2), out)
 
     def fix(m: re.Match) -> str:
         t = m.group()
-        w = word(t)
+        w = form(t)
         if fixes.get(w):
             new = fixes[w]
+            if number(t):
+                return t.replace(w, new)
             if t[:1].isupper() or (len(t) > 1 and t[1:2].isupper()):
                 new = new.upper() if t.upper() == t and len(t) > 1 and t[1:].upper() == t[1:] and any(c.isalpha() for c in t[1:]) else new[:1].upper() + new[1:]
             at = t.lower().find(w)
             return t[:at] + new + t[at + len(w) :]
-        if _NUMBER.match(t):
-            return t.translate(str.maketrans("OlISB", "01158"))
-        if not t.isascii() or marked(t):
-            return t.translate(_PLAIN) if sum(c.isalpha() for c in t) >= 3 else t
         return t
 
     lines = _TOKEN.sub(fix, out)
@@ -420,12 +502,13 @@ def repaired(blocks: DataFrame, ldus: DataFrame) -> DataFrame:
     """(record_kind, record_id, doc_id, place, page, text): every block and LDU once as readable paragraphs, in the order of place within doc_id.
 
     Records of nothing but furniture are left out. A word divided at the end of a record is completed from the next record
-    that has text, which loses that part. One row a record: no file is gathered in one task.
+    that has text, which loses that part; rows without place come last in their file, and none without doc_id is completed. A word or
+    number is changed only if the lexicon has the one it was read from. One row a record: no file is gathered in one task.
     """
     recs = records(blocks, ldus).dropDuplicates(["kind", "id"])
     found = scan(recs)
     lex = materialize(lexicon(found), "lexicon")
-    candidates = materialize(corrections(lex), "fixes")
+    candidates = materialize(corrections(lex).unionByName(number_corrections(found)), "fixes")
     best = candidates.groupBy("read").agg(F.min("cost").alias("low"))
     close = candidates.join(best, "read").filter(F.col("cost") <= F.col("low") + 1e-9)
     many = close.groupBy("read").agg(F.count("*").alias("c")).filter("c > 1").select("read")
@@ -439,7 +522,7 @@ def repaired(blocks: DataFrame, ldus: DataFrame) -> DataFrame:
         for pdf in it:
             out = []
             for kind, id_, text in zip(pdf["kind"], pdf["id"], pdf["text"], strict=True):
-                ws = [word(t) for t in tokens(text)]
+                ws = [form(t) for t in tokens(text)]
                 out += [(kind, id_, a, b) for a, b in zip(ws, ws[1:], strict=False)]
             yield pd.DataFrame(out, columns=["kind", "id", "prev", "read"])
 
@@ -458,9 +541,9 @@ def repaired(blocks: DataFrame, ldus: DataFrame) -> DataFrame:
             yield pdf[["kind", "id", "doc_id", "place", "page", "text"]]
 
     mended = materialize(work.select("kind", "id", "doc_id", "place", "page", "text", "running", "fixes").mapInPandas(mend, "kind string, id bigint, doc_id string, place int, page int, text string").filter("text <> ''"), "mended")
-    open_end = r"([\w]+)[-­‐]$"
-    ends = mended.join(divided.filter("b IS NULL").select("kind", "id").distinct(), ["kind", "id"], "left_semi").filter(F.col("text").rlike(open_end)).select("kind", "doc_id", F.col("id").alias("from"), F.explode(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: F.col("place") + k)).alias("place"))
-    nxt = ends.join(mended.select("kind", "doc_id", "place", F.col("id").alias("to"), F.regexp_extract("text", r"^(\w+)", 1).alias("part")), ["kind", "doc_id", "place"]).groupBy("kind", "from").agg(F.min_by(F.struct("to", "part"), "place").alias("x")).select("kind", "from", "x.to", "x.part").filter("part <> ''")
+    open_end = divided.filter("b IS NULL").select("kind", "id").distinct().withColumn("cut", F.lit(True))
+    firsts = mended.join(open_end, ["kind", "id"], "left").select("kind", "id", "doc_id", "place", F.struct(F.col("id").alias("to"), F.regexp_extract("text", r"^(\w+)", 1).alias("part")).alias("first"), (F.col("cut") & F.col("text").rlike(r"\w[-­‐]$")).alias("cut"))
+    nxt = following(firsts, "first").filter("cut").select("kind", F.col("id").alias("from"), "next.to", "next.part").filter("part <> ''")
     mended = mended.join(nxt.select("kind", F.col("from").alias("id"), "part"), ["kind", "id"], "left").join(nxt.groupBy("kind", F.col("to").alias("id")).agg(F.max("part").alias("gone")), ["kind", "id"], "left")
     text = F.when(F.col("part").isNotNull(), F.concat(F.regexp_replace("text", r"[-­‐]$", ""), "part")).otherwise(F.col("text"))
     text = F.when(F.col("gone").isNotNull(), F.ltrim(F.substring(text, F.length("gone") + 1, F.length(text)))).otherwise(text)

@@ -38,13 +38,35 @@ def test_distance():
 
 
 def test_marks_and_lines():
-    for w in ("h@lved", "alon9", "Kale!zora", "2O14", "l997", "certífied", "8raun"):
+    for w in ("h@lved", "alon9", "Kale!zora", "certífied", "8raun"):
         assert S.marked(w), w
     for w in ("entries!", "Dr", "3.5", "9.9.7", "m2", "2nd", "Q3", "it's", "1990", "Dolauthor's"):
         assert not S.marked(w), w
+    assert [S.number(w) for w in ("2O14", "l997", "$10B", "B2B", "2.5", "10th", "SO")] == ["2O14", "l997", "10B", None, None, None, None]
+    assert S.plain("a1on9") == {"along", "aiong"}
     assert S.alike("2  YEARLY REP0RT Of Farms") == S.alike("Yearly Report of Farms   3")
 
 
+def test_only_what_the_lexicon_proves_is_repaired(spark):
+    """Words of other languages, addresses, amounts and codes stay, though they look like misreadings; numbers with letters inside do not."""
+    kept = ["El país y los días de paz", "Write to info@example.com about covid19", "A B2B deal of $10B or 1S and 2I", "The 100m and the 10th", "Vitamin B12 for 812 people and 812 more and 812 others"]
+    text = [*kept, *[f"In 2014 the council of {w} had 630 members and 21 halls and 15 doors and 108 windows" for w in ("north", "south", "east", "west", "old", "new", "far")], "Counc1l 2O14", "the c0uncil", "630 or 63O or 6O0"]
+    rows = [(i, f"d{i}", "s", 1, 0, t) for i, t in enumerate(text)]
+    df, none = spark.createDataFrame(rows, BLOCKS), tables(spark)[1].limit(0)
+    bad = {r["record_id"] for r in S.defects(df, none).collect()}
+    assert bad == {len(text) - 3, len(text) - 2, len(text) - 1}
+    got = {r["record_id"]: r["text"] for r in S.repaired(df, none).collect()}
+    assert all(got[i] == t for i, t in enumerate(kept))
+    assert [got[len(text) - k] for k in (3, 2, 1)] == ["Council 2014", "the council", "630 or 630 or 600"]
+
+
+def test_words_divided_far_apart_are_completed(spark):
+    """Many records of nothing but furniture lie between the halves; places have gaps or are null."""
+    rows = [(1, "d", "s", 1, 0, "The protec-"), *[(10 + i, "d", "s", 1, 1 + 70 * i, f"Page {i + 1}") for i in range(9)], (2, "d", "s", 9, 5000, "tion of the hall"), (3, "e", "s", 1, None, "The pro-"), (4, "e", "s", 1, None, "tection"), (5, None, "s", 1, 0, "The pro-"), (6, None, "s", 1, 1, "tection")]
+    got = {r["record_id"]: r["text"] for r in S.repaired(spark.createDataFrame(rows, BLOCKS), tables(spark)[1].limit(0)).collect()}
+    assert got == {1: "The protection", 2: "of the hall", 3: "The protection", 4: "", 5: "The pro-", 6: "tection"}
+
+
 def test_empty(spark):
     b, u = tables(spark)
     assert S.defects(b.limit(0), u.limit(0)).count() == 0 and S.repaired(b.limit(0), u.limit(0)).count() == 0
