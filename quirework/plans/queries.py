@@ -12,7 +12,7 @@ from quirework.functions import embedding
 from quirework.functions import text as T
 from quirework.operators import agent, chunking, extraction, facts, geometry, hierarchy, reports, retrieval, sections, triage, units
 from quirework.plans.oracle import ORACLE
-from quirework.session import table
+from quirework.session import materialize, table
 from quirework.sources import tables as sources
 from quirework.streaming import ledger
 
@@ -68,30 +68,31 @@ def p2_quantities(spark: SparkSession, d: str) -> DataFrame:
 @_query
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Sections caught in a cycle or below one."""
-    return p6_hierarchy(spark, d).filter("in_cycle").select("doc_id", "section_id").distinct()
+    return _tree(spark, d).filter("in_cycle").select(F.col("grp").alias("doc_id"), F.col("node").alias("section_id")).distinct()
+
+
+def _tree(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.sections_tree(table(spark, d, "sections"))
 
 
 @_query
 def p6_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     """Path, depth, root, preorder range and number of descendants of every section."""
-    tree = hierarchy.hierarchy(hierarchy.current_links(table(spark, d, "sections")))
-    return tree.withColumnsRenamed({"grp": "doc_id", "node": "section_id", "parent": "parent_id"})
+    return hierarchy.with_paths(materialize(_tree(spark, d), "tree")).withColumnsRenamed({"grp": "doc_id", "node": "section_id", "parent": "parent_id"})
 
 
 @_query
 def p6_descendants(spark: SparkSession, d: str) -> DataFrame:
     """All pairs of an ancestor and a descendant."""
-    return hierarchy.descendants(hierarchy.hierarchy(hierarchy.current_links(table(spark, d, "sections")))).withColumnRenamed("grp", "doc_id")
+    return hierarchy.descendants(materialize(_tree(spark, d), "tree")).withColumnRenamed("grp", "doc_id")
 
 
 @_query
 def p6_units(spark: SparkSession, d: str) -> DataFrame:
     """Units of every section by themselves and with all below: parent_section hangs units under the tree."""
-    tree = hierarchy.hierarchy(hierarchy.current_links(table(spark, d, "sections")))
     own = _ldus(spark, d, "doc_id", "parent_section").filter("parent_section IS NOT NULL").groupBy(F.col("doc_id").alias("grp"), F.col("parent_section").alias("node")).agg(F.count("*").alias("own"))
-    have = tree.join(own, ["grp", "node"], "left").withColumn("own", F.coalesce("own", F.lit(0)))
-    up = have.filter("NOT in_cycle").select("grp", F.explode("path").alias("node"), "own").groupBy("grp", "node").agg(F.sum("own").alias("with_below"))
-    return have.join(up, ["grp", "node"], "left").select(F.col("grp").alias("doc_id"), F.col("node").alias("section_id"), "own", "with_below")
+    have = materialize(_tree(spark, d).join(own, ["grp", "node"], "left").withColumn("own", F.coalesce("own", F.lit(0))), "tree")
+    return have.join(hierarchy.subtree_sums(have, "own"), ["grp", "node"], "left").select(F.col("grp").alias("doc_id"), F.col("node").alias("section_id"), "own", F.col("total").alias("with_below"))
 
 
 # Triage
@@ -279,8 +280,7 @@ def section_search(spark: SparkSession, d: str) -> DataFrame:
 
 @_query
 def section_json(spark: SparkSession, d: str) -> DataFrame:
-    tree = hierarchy.hierarchy(hierarchy.current_links(table(spark, d, "sections")))
-    return sections.to_json(tree, sections.current(table(spark, d, "sections")))
+    return sections.to_json(_tree(spark, d), sections.current(table(spark, d, "sections")))
 
 
 @_query

@@ -38,7 +38,8 @@ def forest(seed, n=120):
 @pytest.mark.parametrize("limit", [10_000, 5])
 def test_against_walking(spark, limit):
     rows = forest(limit, 60)
-    got = H.hierarchy(spark.createDataFrame(rows, LINKS), max_rows=limit).collect()
+    tree = H.hierarchy(spark.createDataFrame(rows, LINKS), max_rows=limit)
+    got = H.with_paths(tree, stretch=limit).collect()
     want = walk(rows)
     assert len(got) == len(rows)
     below = {k: sum(1 for (g, _), p in want.items() if p and g == k[0] and k[1] in p[:-1]) for k in want}
@@ -69,8 +70,9 @@ def test_current_links(spark):
     df = spark.createDataFrame(rows, schema).withColumn("node", F.lit("clash"))
     got = {tuple(r) for r in H.current_links(df).select("grp", "node", "parent").collect()}
     assert got == {("d", "a", "f"), ("d", "b", "a"), ("d", "c", None), ("d", "e", None), ("d", "f", "a"), ("e", "b", None)}
-    tree = {(r["grp"], r["node"]): r["in_cycle"] for r in H.hierarchy(H.current_links(df)).collect()}
-    assert tree == {("d", "a"): True, ("d", "b"): True, ("d", "c"): False, ("d", "e"): False, ("d", "f"): True, ("e", "b"): False}
+    for way in (H.hierarchy(H.current_links(df)), H.sections_tree(df), H.sections_tree(df, 2)):
+        tree = {(r["grp"], r["node"]): r["in_cycle"] for r in way.collect()}
+        assert tree == {("d", "a"): True, ("d", "b"): True, ("d", "c"): False, ("d", "e"): False, ("d", "f"): True, ("e", "b"): False}
 
 
 def test_newest_row_holds(spark):
@@ -83,10 +85,31 @@ def test_newest_row_holds(spark):
 def test_empty(spark):
     empty = spark.createDataFrame([], LINKS)
     assert H.hierarchy(empty).count() == 0 and H.hierarchy(empty, 0).count() == 0
-    assert H.descendants(H.hierarchy(empty)).count() == 0
+    assert H.descendants(H.hierarchy(empty)).count() == 0 and H.with_paths(H.hierarchy(empty)).count() == 0
 
 
 def test_descendants(spark):
     rows = [("g", "a", None), ("g", "b", "a"), ("g", "c", "b")]
     got = {tuple(r) for r in H.descendants(H.hierarchy(spark.createDataFrame(rows, LINKS))).collect()}
     assert got == {("g", "a", "b", 1), ("g", "a", "c", 2), ("g", "b", "c", 1)}
+    for stretch in (1, 2, 50_000):
+        assert {tuple(r) for r in H.descendants(H.hierarchy(spark.createDataFrame(rows, LINKS)), stretch).collect()} == got
+
+
+def test_sums_over_subtrees(spark):
+    rows = forest(4, 90)
+    df = spark.createDataFrame(rows, LINKS)
+    tree = H.hierarchy(df).withColumn("v", F.length("node").cast("long")).withColumn("total", F.lit("clash"))
+    want = {(g, n): sum(len(m) for (h, m), q in walk(rows).items() if h == g and q and n in q) for (g, n), p in walk(rows).items() if p}
+    for stretch in (3, 50_000):
+        assert {(r["grp"], r["node"]): r["total"] for r in H.subtree_sums(tree, "v", stretch).collect()} == want
+
+
+def test_chain_of_a_hundred_thousand(spark):
+    """Ends in a few rounds, with numbers that fit; a cycle of the same length is found too."""
+    n = 100_000
+    i = spark.range(n).select(F.lit("g").alias("grp"), F.format_string("n%d", "id").alias("node"), F.when(F.col("id") > 0, F.format_string("n%d", F.col("id") - 1)).alias("parent"), "id")
+    r = H.hierarchy(i.select("grp", "node", "parent")).agg(F.max("depth"), F.sum("depth"), F.sum("descendants"), F.count_if(F.col("lft") == F.col("depth") + 1), F.count_if(F.col("rgt") == n), F.count_if("in_cycle")).first()
+    assert tuple(r) == (n - 1, n * (n - 1) // 2, n * (n - 1) // 2, n, n, 0)
+    ring = i.select("grp", "node", F.coalesce("parent", F.lit(f"n{n - 1}")).alias("parent"))
+    assert H.hierarchy(ring).filter("in_cycle").count() == n
