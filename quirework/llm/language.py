@@ -1,8 +1,8 @@
 """Language of documents and of their single-language stretches.
 
-A sentence is the average of the embeddings of its hashed subwords (character 2- to 4-grams, word starts and ends
+A sentence is the average of the embeddings of its hashed subwords (character 2- to 5-grams, word starts and ends
 marked), a linear softmax over them gives the language. Both are trained by stochastic gradient descent in numpy on
-the labelled samples (at most MAX_SAMPLES rows). As the model is linear, embeddings times softmax weights are stored
+the labelled samples (at most SAMPLES of a language). As the model is linear, embeddings times softmax weights are stored
 as one row of class scores per bucket. A temperature fitted on held-out samples calibrates the confidence; a sentence
 below the confidence, or made of subwords of which too few were seen in training, gets no language (rejection).
 """
@@ -14,13 +14,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirework.llm import sentences as S
 from quirework.session import spread
 
-MAX_SAMPLES = 20_000
+#: Labelled samples of a language, and sentences of a language that self-training adds.
+SAMPLES, SELF_TRAINED = 1000, 150
 BUCKETS, DIM = 1 << 17, 16
 LEAST_CONFIDENCE, LEAST_SEEN = 0.75, 0.25
 
@@ -198,7 +200,7 @@ def train(rows: list[tuple[str, str]], seed: int = 7, epochs: int = 16, rate: fl
     return Model(languages, scores, seen, b.astype(np.float64), temperature)
 
 
-def retrain(first: Model, rows: list[tuple[str, str]], texts: list[str], boundaries: S.Model, most: int = 150) -> Model:
+def retrain(first: Model, rows: list[tuple[str, str]], texts: list[str], boundaries: S.Model, most: int = SELF_TRAINED) -> Model:
     """Self-training: sentences of texts in which nearly all sure sentences agree take their language, at most most a language; they teach headings and names that the samples lack."""
     taken: dict[str, list[str]] = {x: [] for x in first.languages}
     for text in texts:
@@ -213,15 +215,18 @@ def retrain(first: Model, rows: list[tuple[str, str]], texts: list[str], boundar
     return train([*rows, *extra], epochs=4) if extra else first
 
 
+_trained: dict[str, Model] = {}
+
+
 def train_on(samples: DataFrame, documents: DataFrame | None = None, boundaries: S.Model | None = None, sample: int = S.SAMPLE) -> Model:
-    """From (language, sample_text), at most MAX_SAMPLES rows, labels in any usual spelling; then from at most sample texts of documents."""
-    rows = samples.select(language_code(F.col("language")).alias("l"), "sample_text").filter("l IS NOT NULL AND length(trim(sample_text)) > 0").orderBy("l", "sample_text").limit(MAX_SAMPLES).collect()
-    rows = [(r[0], r[1]) for r in rows]
-    model = train(rows)
-    if documents is None or boundaries is None:
-        return model
-    texts = [r[0] for r in documents.select("text").filter(F.length("text") > 0).limit(sample).collect()]
-    return retrain(model, rows, texts, boundaries)
+    """From (language, sample_text), at most SAMPLES of each language by hash, labels in any usual spelling; then from texts of documents drawn as in sentences.drawn. The same sample is learned once a process."""
+    rows = S.labelled(samples.select(language_code(F.col("language")).alias("language"), "sample_text"), most=SAMPLES)
+    texts = S.drawn(documents, sample=sample) if documents is not None and boundaries is not None else []
+    name = xxhash.xxh3_128_hexdigest(repr((rows, texts, id(boundaries))).encode("utf-8", "replace"))
+    if name not in _trained:
+        first = train(rows)
+        _trained[name] = retrain(first, rows, texts, boundaries) if texts else first
+    return _trained[name]
 
 
 def _spoken(sentence: str) -> str:
@@ -266,10 +271,15 @@ def stretches(documents: DataFrame, boundaries: S.Model, model: Model, key: str
     return spread(documents.select(F.col(key).alias("_key"), F.col(text).alias("_text")).filter("_key IS NOT NULL AND length(_text) > 0")).mapInPandas(cut, f"_key {kind}, stretch_ix int, start bigint, end bigint, language string, confidence double, sentences int").withColumnRenamed("_key", key)
 
 
-def document_languages(runs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, language, confidence, languages): the language of most characters, its mean confidence times its share, and all languages by code."""
+def document_languages(runs: DataFrame, documents: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, language, confidence, languages), a row a key of documents: the language of most characters, its mean confidence times its share, and all languages by code.
+
+    A document without a sentence of a known language (null, empty, or all rejected) has null language, confidence 0 and no languages.
+    """
     by = runs.filter("language IS NOT NULL").groupBy(key, "language").agg(F.sum(F.col("end") - F.col("start")).alias("n"), F.sum(F.col("confidence") * (F.col("end") - F.col("start"))).alias("c"))
-    return by.groupBy(key).agg(F.max_by(F.struct("language", "c"), F.struct("n", "language")).alias("b"), F.sum("n").alias("all"), F.sort_array(F.collect_list("language")).alias("languages")).select(key, "b.language", F.round(F.col("b.c") / F.col("all"), 6).alias("confidence"), "languages")
+    known = by.groupBy(key).agg(F.max_by(F.struct("language", "c"), F.struct("n", "language")).alias("b"), F.sum("n").alias("all"), F.sort_array(F.collect_list("language")).alias("languages"))
+    every = documents.select(key).filter(F.col(key).isNotNull()).distinct().join(known, key, "left")
+    return every.select(key, "b.language", F.coalesce(F.round(F.col("b.c") / F.col("all"), 6), F.lit(0.0)).alias("confidence"), F.coalesce("languages", F.array().cast("array<string>")).alias("languages"))
 
 
 def current_profiles(profiles: DataFrame) -> DataFrame:

@@ -4,7 +4,8 @@ Every window of `window` words of an item is covered by shingles of `shingle` wo
 the corpus (counted over all documents); a document that holds a window holds all its shingles, so its rarest
 one is a necessary prefix. Documents are probed with the necessary shingles only; the position of a hit fixes where the
 item must lie (positional bound), an item shorter than the window is never looked for (length bound), and the run of
-equal words around the hit is measured exactly. Items are few; they travel in blocks of at most ITEMS_A_BLOCK.
+equal words around the hit is measured exactly. Up to ITEMS_A_BLOCK items travel with the function; more, however many,
+are joined to the documents by shuffles on their necessary shingles.
 """
 
 from __future__ import annotations
@@ -14,13 +15,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirework.session import small_rows, spread
+from quirework.session import materialize, spread
 
 WINDOW, SHINGLE = 12, 4
-ITEMS_A_BLOCK, MAX_ITEMS = 5_000, 500_000
+ITEMS_A_BLOCK = 5_000
+#: Bits of the filter of item shingles: BITS_A_KEY each, within these bounds. Beyond them it only lets more through to the exact join.
+LEAST_BITS, MOST_BITS, BITS_A_KEY = 1 << 16, 1 << 27, 16
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -113,40 +117,139 @@ class Index:
         return out
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, key: str = "doc_id", text: str = "text") -> DataFrame:
+def leaked_items(documents: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, key: str = "doc_id", text: str = "text", items_a_block: int = ITEMS_A_BLOCK) -> DataFrame:
     """(key, item_id), distinct: documents that hold window or more consecutive words of an item.
 
-    Null keys, ids and texts match nothing; items of fewer than window words are never found.
+    Null keys, ids and texts match nothing; items of fewer than window words are never found. Of an item_id with several texts each counts.
     """
-    spark = documents.sparkSession
-    rows = sorted((r[0], r[1]) for r in small_rows(items.select("item_id", "item_text").filter("item_id IS NOT NULL AND item_text IS NOT NULL").distinct(), MAX_ITEMS))
-    kind, item_kind = documents.schema[key].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
+    usable = items.select("item_id", "item_text").filter("item_id IS NOT NULL AND item_text IS NOT NULL").distinct()
     texts = spread(documents.select(F.col(key).alias("_key"), F.col(text).alias("_text")).filter("_key IS NOT NULL AND length(_text) > 0"))
-    out = spark.createDataFrame([], f"_key {kind}, item_id {item_kind}")
-    for lo in range(0, len(rows), ITEMS_A_BLOCK):
-        index = Index(rows[lo : lo + ITEMS_A_BLOCK], window, shingle)
-        if not index.items:
-            continue
-
-        def count(it: Iterator[pd.DataFrame], index: Index = index) -> Iterator[pd.DataFrame]:
-            found = np.zeros(len(index.shingles), np.int64)
-            for pdf in it:
-                for t in pdf["_text"]:
-                    ids = index.numbers(t)
-                    at = index.probe(ids, index.shingles)
-                    if len(at):
-                        found += np.bincount(np.searchsorted(index.shingles, np.unique(_keys(ids, shingle)[at])), minlength=len(found))
-            some = np.flatnonzero(found)
-            yield pd.DataFrame({"k": some, "n": found[some]})
-
+    first = usable.take(items_a_block + 1)
+    found = _few(texts, sorted(tuple(r) for r in first), usable, window, shingle) if len(first) <= items_a_block else _many(texts, usable, window, shingle)
+    return found.distinct().withColumnRenamed("_key", key)
+
+
+def _few(texts: DataFrame, rows: list[tuple], items: DataFrame, window: int, shingle: int) -> DataFrame:
+    """At most a block of items: the index goes with the function, the corpus is read once to count and once to find."""
+    schema = f"_key {texts.schema['_key'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}"
+    index = Index(rows, window, shingle)
+
+    def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = np.zeros(len(index.shingles), np.int64)
+        for pdf in it:
+            for t in pdf["_text"]:
+                ids = index.numbers(t)
+                at = index.probe(ids, index.shingles)
+                if len(at):
+                    found += np.bincount(np.searchsorted(index.shingles, np.unique(_keys(ids, shingle)[at])), minlength=len(found))
+        some = np.flatnonzero(found)
+        yield pd.DataFrame({"k": some, "n": found[some]})
+
+    if index.items:
         # One row a shingle of the block: at most ITEMS_A_BLOCK items' words.
-        counts = {int(index.shingles[r[0]]): r[1] for r in texts.select("_text").mapInPandas(count, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toLocalIterator()}
-        index.rank(counts)
+        index.rank({int(index.shingles[r[0]]): r[1] for r in texts.select("_text").mapInPandas(count, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toLocalIterator()})
+
+    def find(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            found = [(k, i) for k, t in zip(pdf["_key"], pdf["_text"], strict=True) for i in index.leaks(t)]
+            yield pd.DataFrame(found, columns=["_key", "item_id"])
+
+    return texts.mapInPandas(find, schema)
+
+
+class _Hashes(dict):
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word) >> 1
+        return h
+
 
-        def find(it: Iterator[pd.DataFrame], index: Index = index) -> Iterator[pd.DataFrame]:
-            for pdf in it:
-                found = [(k, i) for k, t in zip(pdf["_key"], pdf["_text"], strict=True) for i in index.leaks(t)]
-                yield pd.DataFrame(found, columns=["_key", "item_id"])
+def _shingled(known: _Hashes, text: str, shingle: int) -> np.ndarray:
+    """The key of the shingle at each word of a text, as signed numbers."""
+    return _keys(np.array([known[w] for w in words(text)], np.int64), shingle).view(np.int64)
 
-        out = out.unionByName(texts.mapInPandas(find, f"_key {kind}, item_id {item_kind}"))
-    return out.distinct().withColumnRenamed("_key", key)
+
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """Bits of the keys (k BIGINT) modulo the size, packed; of bounded size."""
+    bits, n = LEAST_BITS, keys.count()
+    while bits < min(MOST_BITS, BITS_A_KEY * n):
+        bits *= 2
+    out = np.zeros(bits // 8, np.uint8)
+    at = keys.select(F.pmod("k", F.lit(bits)).alias("p"))
+    for r in at.groupBy(F.floor(F.col("p") / 32768).alias("b")).agg(F.expr("bitmap_construct_agg(p % 32768)").alias("m")).toLocalIterator():
+        part = np.frombuffer(bytes(r["m"]), np.uint8)
+        out[int(r["b"]) * 4096 : int(r["b"]) * 4096 + 4096] = part[: len(out)]
+    return out
+
+
+def _many(texts: DataFrame, items: DataFrame, window: int, shingle: int) -> DataFrame:
+    """Any number of items: shingles of items and documents meet in one shuffled join; one pass over the documents serves counting and joining.
+
+    Documents send only positions whose shingle passes the filter of all item shingles. Pairs that meet in a necessary shingle are checked on their words.
+    """
+    kind, item_kind = texts.schema["_key"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
+    span = window - shingle + 1
+    texted = items.select("item_id", F.xxhash64("item_text").alias("ver"), "item_text")
+
+    def cut(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = _Hashes()
+        for pdf in it:
+            parts = []
+            for i, v, t in zip(pdf["item_id"], pdf["ver"], pdf["item_text"], strict=True):
+                k = _shingled(known, t, shingle)
+                if len(k) >= span:
+                    parts.append(pd.DataFrame({"item_id": i, "ver": v, "at": np.arange(len(k)), "k": k}))
+            if parts:
+                yield pd.concat(parts)
+
+    of_items = materialize(texted.mapInPandas(cut, f"item_id {item_kind}, ver bigint, at int, k bigint"), "itemshingles")
+    bits = _bitmap(of_items.select("k").distinct())
+
+    def probe(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, size = _Hashes(), 8 * len(bits)
+        for pdf in it:
+            parts = []
+            for key, t in zip(pdf["_key"], pdf["_text"], strict=True):
+                k = np.unique(_shingled(known, t, shingle))
+                p = np.mod(k, size)
+                hit = k[(bits[p >> 3] >> (p & 7)) & 1 == 1]
+                if len(hit):
+                    parts.append(pd.DataFrame({"_key": key, "k": hit}))
+            if parts:
+                yield pd.concat(parts)
+
+    hits = materialize(texts.mapInPandas(probe, f"_key {kind}, k bigint"), "itemhits")
+    counts = hits.groupBy("k").agg(F.count("*").alias("n"))
+
+    def choose(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            rows: set[tuple] = set()
+            for i, v, at, ks, ns in zip(pdf["item_id"], pdf["ver"], pdf["at"], pdf["k"], pdf["n"], strict=True):
+                order = np.lexsort((ks, ns))
+                rank = np.empty(len(order), np.int64)
+                rank[np.asarray(at)[order]] = np.arange(len(order))
+                by_place = np.asarray(ks)[np.argsort(at)]
+                low = np.lib.stride_tricks.sliding_window_view(rank, span).argmin(1) + np.arange(len(rank) - span + 1)
+                rows |= {(i, v, int(by_place[p])) for p in low}
+            yield pd.DataFrame(sorted(rows, key=str), columns=["item_id", "ver", "k"])
+
+    each = of_items.join(counts, "k", "left").groupBy("item_id", "ver").agg(F.sort_array(F.collect_list(F.struct("at", "k", F.coalesce("n", F.lit(0)).alias("n")))).alias("x"))
+    rare = each.select("item_id", "ver", F.col("x.at").alias("at"), F.col("x.k").alias("k"), F.col("x.n").alias("n")).mapInPandas(choose, f"item_id {item_kind}, ver bigint, k bigint")
+    pairs = hits.join(rare, "k").select("_key", "item_id", "ver").distinct().join(texted, ["item_id", "ver"]).join(texts, "_key")
+
+    def check(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        indices: dict = {}
+        for pdf in it:
+            rows = []
+            for key, i, v, item, t in zip(pdf["_key"], pdf["item_id"], pdf["ver"], pdf["item_text"], pdf["_text"], strict=True):
+                if len(indices) > 10_000:
+                    indices.clear()
+                if (i, v) not in indices:
+                    indices[i, v] = Index([(i, item)], window, shingle)
+                    indices[i, v].rank({})
+                if indices[i, v].leaks(t):
+                    rows.append((key, i))
+            yield pd.DataFrame(rows, columns=["_key", "item_id"])
+
+    return pairs.select("_key", "item_id", "ver", "item_text", "_text").mapInPandas(check, f"_key {kind}, item_id {item_kind}")

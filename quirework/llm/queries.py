@@ -19,8 +19,16 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """LDUs that had to be cut."""
-    return p1_pieces(spark, d).filter("piece_ix = 1").select("ldu_id").distinct()
+    """LDUs that had to be cut as they have too many tokens (p1_pieces also cuts long texts without spaces)."""
+    return p1_pieces(spark, d).filter("piece_ix = 1").filter(F.col("unit_tokens") > _limits(spark, d)[0]).select("ldu_id").distinct()
+
+
+def p1_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """The text of every cut LDU put together from its pieces, and whether all pieces are within the limit and overlap as they should."""
+    limit, overlap = _limits(spark, d)
+    p = p1_pieces(spark, d).filter(F.col("unit_tokens") > limit)
+    right = (F.col("token_count") <= limit) & (F.col("overlap_tokens") == F.when(F.col("piece_ix") > 0, overlap).otherwise(0))
+    return splitting.rebuilt(p).select("ldu_id", F.md5("text").alias("text_md5")).join(p.groupBy("ldu_id").agg(F.bool_and(right).alias("right")), "ldu_id")
 
 
 def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -73,7 +81,7 @@ def p5_stretches(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_documents(spark: SparkSession, d: str) -> DataFrame:
     """Main language of every document, with confidence and all its languages."""
-    return language.document_languages(p5_stretches(spark, d))
+    return language.document_languages(p5_stretches(spark, d), table(spark, d, "documents"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -106,7 +114,7 @@ def p10_sentences(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentences(table(spark, d, "documents"), _boundaries(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_groups, p4_found, p4_lines, p4_cleaned, p5_found, p5_stretches, p5_documents, p7_found, p7_repaired, p8_packed, p9_found, p10_found, p10_sentences)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_rebuilt, p3_found, p3_groups, p4_found, p4_lines, p4_cleaned, p5_found, p5_stretches, p5_documents, p7_found, p7_repaired, p8_packed, p9_found, p10_found, p10_sentences)}
 
 _LINES = r"""
 WITH lines AS (
@@ -120,6 +128,7 @@ frequent AS (SELECT u.source, n, count(DISTINCT doc_id) AS files, any_value(sour
 
 ORACLE = {
     "p1_found": r"SELECT DISTINCT ldu_id FROM ldus WHERE len(regexp_extract_all(content, '\S+')) > (SELECT max(setting_value) FROM pipeline_config WHERE setting = 'MAX_LDU_TOKENS')",
+    "p1_rebuilt": r"SELECT ldu_id, md5(max(content)) AS text_md5, true AS right FROM ldus WHERE len(regexp_extract_all(content, '\S+')) > (SELECT max(setting_value) FROM pipeline_config WHERE setting = 'MAX_LDU_TOKENS') GROUP BY ldu_id",
     "p4_found": _LINES + "SELECT DISTINCT block_id, CAST(line_no AS INTEGER) AS line_no FROM usable u JOIN frequent f ON u.source = f.source AND u.n = f.n",
     "p4_lines": _LINES + "SELECT source, n AS line, files, source_files FROM frequent",
 }

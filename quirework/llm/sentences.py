@@ -5,8 +5,9 @@ terminators) is tagged boundary or inside by a linear-chain model and Viterbi de
 boundaries: it is trained where the text shows them itself. Paragraphs of a bounded sample are joined by a space; a
 joint is a sure boundary, every other place is unlabelled. A logistic model of "is a joint" gives g(x); as joints
 look like any other boundary, P(boundary | x) = g(x) / c, where c is the mean of g over the joints of a script
-(learning from positive and unlabelled cases). For scripts without terminators the joined text is stripped of them,
-so the same model learns which words begin and end sentences. Transitions are estimated from the decoded sample.
+(learning from positive and unlabelled cases). Paragraphs in a script without terminators are stripped of what
+terminators they have before they are joined, so the model learns which words begin and end sentences there. Transitions
+are estimated from the decoded sample. The sample is drawn by a hash of the key, so that it is the same in any order of files.
 """
 
 from __future__ import annotations
@@ -18,18 +19,19 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirework.session import spread
 
-#: Bounds of the training sample: texts in all, and texts more that hold a script without terminators.
-SAMPLE, SAMPLE_BARE = 3000, 600
+#: Bounds of the training sample: texts in all, texts more of each script, texts of a language of the labelled samples, and
+#: the texts (times SAMPLE) whose scripts are looked at.
+SAMPLE, SAMPLE_SCRIPT, SAMPLE_LABELLED, POOL = 3000, 400, 200, 20
 #: Share of c from which an unlabelled place counts as a boundary while the model learns.
 FROM = 0.4
 
 # Terminators, closing marks and quotation marks by script.
-SPACED_END = ".!?…؟።۔।॥:;"
 FREE_END = "。！？｡"
 BARE = "฀-๿຀-໿ក-៿က-႟"
 CLOSE = "\"”»'’)\\]」』“›"
@@ -39,21 +41,8 @@ _QUOTE = re.compile(r"\"[^\"]*\"|«[^»]*»|“[^”]*”|„[^“”]*[“”]|
 _ENDING = re.compile(rf"[.!?…؟۔።।॥:{FREE_END}]+(?:[{CLOSE}]|[^\S\n][»›])*")
 _SPACE = re.compile(rf"(?<=[{BARE}])\s+|\s+(?=[{BARE}])|(?<=\d)\s+(?=[A-ZÀ-ÞА-Я])")
 _STRONG = frozenset("።।॥؟" + FREE_END)
-_BARE = 3000, 600
-
-# Terminators, closing marks and quotation marks by script.
-SPACED_END = ".!?…؟።۔।॥:;"
-FREE_END = "。！？｡"
-BARE = "฀-๿຀-໿ក-៿က-႟"
-CLOSE = "\"”»'’)\\]」』“›"
-_BULLET = re.compile(r"[^\S\n]*(?:[*•‣▪◦·–—-]|\(?\d{1,3}[.)]|\(?[a-z][.)])[^\S\n]+\S")
-_PARAGRAPH = re.compile("\n[^\\S\n]*(?:\n[^\\S\n]*)+|[  \f]+")
-_QUOTE = re.compile(r"\"[^\"]*\"|«[^»]*»|“[^”]*”|„[^“”]*[“”]|「[^」]*」|『[^』]*』|‹[^›]*›")
-_CANDIDATE = re.compile(
-    rf"(?:[.!?…؟።۔।॥]|::)+(?:[^\S\n]?[{CLOSE}])*(?=\s|$)|[።।॥؟]+(?:[{CLOSE}])*|[{FREE_END}]+[{CLOSE}]*"
-    rf"|(?<=[^\W\d_A-Z])[.!?]+[{CLOSE}]*(?=[A-ZÀ-ÞА-Я][^\W\d_]|[^\W\d_\u0000-ԯ])"  # no space after the terminator
-    rf"|(?<=[{BARE}])\s+|\s+(?=[{BARE}])|(?<=\d)\s+(?=[A-ZÀ-ÞА-Я])"
-)
+#: Terminators before a space or the end, closing marks between: what is stripped where a script writes none.
+_WRITTEN = re.compile(rf"[.!?…؟۔።।॥{FREE_END}]+(?=[{CLOSE}]*(?:\s|$))")
 _BARE = re.compile(f"[{BARE}]")
 _TERM = re.compile(r"(?:[.!?…؟።۔।॥。！？｡]|::)+")
 _DIGITS = re.compile(r"\d+")
@@ -250,10 +239,16 @@ def _script_key(before: str, mark: str) -> str:
     return ("bare" if mark.isspace() else "end") + (script(before[-1]) if before else "x")
 
 
+def stripped(paragraph: str) -> str:
+    """The paragraph without terminators, if most of its letters belong to a script that writes none; else as it is."""
+    bare = len(_BARE.findall(paragraph))
+    return _WRITTEN.sub("", paragraph) if bare and 2 * bare > sum(map(str.isalpha, paragraph)) else paragraph
+
+
 def _joined(texts: Iterable[str]) -> Iterator[tuple[str, str, str, bool, bool]]:
     """(before, mark, after, is_joint, in_quotation) of every place of the texts with paragraphs joined."""
     for text in texts:
-        paras = [text[a:b] for a, b, listed in blocks(text or "") if not listed]
+        paras = [p for a, b, listed in blocks(text or "") if not listed and (p := stripped(text[a:b]).strip())]
         for i, para in enumerate(paras):
             following = paras[i + 1] if i + 1 < len(paras) else ""
             places = candidates(para)
@@ -319,7 +314,7 @@ def _fit(grid: np.ndarray, y: np.ndarray, size: int, rounds: int, decay: float)
 
 def _moves(model: Model, texts: list[str]) -> list[list[float]]:
     counts = np.ones((2, 2))
-    for text in texts[:1000]:
+    for text in texts:
         for a, b, listed in blocks(text or ""):
             if listed:
                 continue
@@ -335,15 +330,47 @@ def _moves(model: Model, texts: list[str]) -> list[list[float]]:
     return [[0.5 * math.log(p[i, j] / (p[i].sum() * own[j])) for j in range(2)] for i in range(2)]
 
 
-def train_on(documents: DataFrame, samples: DataFrame | None = None, text: str = "text", sample: int = SAMPLE, sample_bare: int = SAMPLE_BARE) -> Model:
-    """The model from a bounded sample of documents: sample texts, and sample_bare that hold a script without terminators."""
-    some = documents.select(text).filter(F.length(text) > 0)
-    rows = [r[0] for r in some.limit(sample).collect()]
-    rows += [r[0] for r in some.filter(F.col(text).rlike(f"[{BARE}]")).limit(sample_bare).collect()]
+def drawn(documents: DataFrame, text: str = "text", key: str = "doc_id", sample: int = SAMPLE, sample_script: int = SAMPLE_SCRIPT) -> list[str]:
+    """The texts of the least hashes of their keys: sample of all, and sample_script of each script, in that order; the same in any order of rows.
+
+    Scripts are told of the POOL * sample least hashes, of which a count of the rows gives the share. A script is that of the first letter, or
+    one without terminators anywhere in the text.
+    """
+    some = documents.select(F.xxhash64(key).alias("h"), F.col(text).alias("t")).filter(F.length("t") > 0)
+    rows = documents.select(key).count()
+    if rows > POOL * sample:
+        some = some.filter(F.pmod("h", F.lit(1 << 30)) < int((1 << 30) * POOL * sample / rows))
+    first = F.regexp_extract("t", r"\p{L}", 0)
+    bare = [(lo, hi, name) for lo, hi, name in _RANGES if name in "TOMR"]
+    kind = F.coalesce(*[F.when(F.col("t").rlike(f"[{chr(lo)}-{chr(hi)}]"), name) for lo, hi, name in bare], *[F.when(first.between(chr(lo), chr(hi)), name) for lo, hi, name in _RANGES], F.lit("x"))
+    each = some.withColumn("script", kind).withColumn("rn", F.row_number().over(Window.partitionBy("script").orderBy("h", "t"))).filter(F.col("rn") <= sample_script)
+    found = {(r["h"], r["t"]) for r in some.orderBy("h", "t").limit(sample).collect()} | {(r["h"], r["t"]) for r in each.select("h", "t").collect()}
+    return [t for _, t in sorted(found)]
+
+
+def labelled(samples: DataFrame, language: str = "language", text: str = "sample_text", most: int = SAMPLE_LABELLED) -> list[tuple[str, str]]:
+    """(language, text) in order: of each language the most texts of the least hashes; a language is at most one of the codes known, else null and left out."""
+    rows = samples.select(F.col(language).alias("l"), F.col(text).alias("t")).filter("l IS NOT NULL AND length(trim(t)) > 0").distinct()
+    ranked = rows.withColumn("rn", F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("t"), "t"))).filter(F.col("rn") <= most)
+    return sorted((r["l"], r["t"]) for r in ranked.select("l", "t").limit(MOST_LANGUAGES * most).collect())
+
+
+MOST_LANGUAGES = 1000
+_trained: dict[str, Model] = {}
+
+
+def train_on(documents: DataFrame, samples: DataFrame | None = None, text: str = "text", key: str = "doc_id", sample: int = SAMPLE, sample_script: int = SAMPLE_SCRIPT) -> Model:
+    """The model from a bounded sample of documents and labelled samples. The same sample is learned once a process."""
+    rows = drawn(documents, text, key, sample, sample_script)
     if samples is not None:
-        for r in samples.groupBy("language").agg(F.array_join(F.sort_array(F.collect_list("sample_text")), "\n\n").alias("t")).orderBy("language").limit(1000).collect():
-            rows.append(r["t"])
-    return train(rows)
+        by: dict[str, list[str]] = {}
+        for language, t in labelled(samples):
+            by.setdefault(language, []).append(t)
+        rows += ["\n\n".join(x) for x in by.values()]
+    name = xxhash.xxh3_128_hexdigest("\0".join(rows).encode("utf-8", "replace"))
+    if name not in _trained:
+        _trained[name] = train(rows)
+    return _trained[name]
 
 
 def sentence_starts(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

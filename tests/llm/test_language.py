@@ -45,6 +45,6 @@ def test_stretches_and_unnamed(spark, parts):
     runs = L.stretches(docs, parts[0], parts[1]).orderBy("doc_id", "stretch_ix").collect()
     assert [(r["doc_id"], r["language"]) for r in runs] == [(1, "en"), (1, "fr"), (2, "de"), (5, "ru"), (6, "es")]
     assert all(0 < r["confidence"] <= 1 and r["start"] < r["end"] for r in runs)
-    main = {r["doc_id"]: r["languages"] for r in L.document_languages(L.stretches(docs, parts[0], parts[1])).collect()}
-    assert main[1] == ["en", "fr"]
+    main = {r["doc_id"]: r["languages"] for r in L.document_languages(L.stretches(docs, parts[0], parts[1]), docs).collect()}
+    assert main[1] == ["en", "fr"] and main[3] == main[4] == [] and set(main) == {1, 2, 3, 4, 5, 6}
     assert L.unnamed_languages(docs.limit(0), profiles.limit(0), parts[0], parts[1]).count() == 0

@@ -62,3 +62,17 @@ def test_operator(spark, model):
     assert [(r["doc_id"], r["sentence"]) for r in got] == [(1, "The council met Dr. Smith on 3 May."), (1, "A bank asked Mr. Jones."), (4, "one")]
     empty = df.limit(0)
     assert S.sentence_starts(empty, S.train_on(empty)).count() == 0
+
+
+def test_sample_is_the_same_in_any_order_of_rows(spark):
+    rows = [(i, f"{'ไทย' if i % 3 == 0 else 'Text'} number {i}") for i in range(60)]
+    one, two = (S.drawn(spark.createDataFrame(r, "doc_id bigint, text string").repartition(n), sample=10, sample_script=4) for r, n in ((rows, 1), (rows[::-1], 5)))
+    assert one == two and 10 <= len(one) <= 18 and sum("ไทย" in t for t in one) >= 4
+    samples = spark.createDataFrame([("en", f"a{i}") for i in range(30)] + [("th", "b"), (None, "c"), ("th", None)], "language string, sample_text string")
+    few = S.labelled(samples, most=5)
+    assert len(few) == 6 and ("th", "b") in few and few == S.labelled(samples.orderBy(F.desc("sample_text")), most=5)
+
+
+def test_terminators_are_stripped_where_a_script_writes_none():
+    assert S.stripped("ไทย ไทย. ไทย 3.5 ไทย! ") == "ไทย ไทย ไทย 3.5 ไทย "
+    assert S.stripped("Text. More ไทย.") == "Text. More ไทย."

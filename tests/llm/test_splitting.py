@@ -29,7 +29,14 @@ def test_natural_boundaries():
     assert [p[4] for p in S.split(text, 8, 2)] == ["paragraph", "end"]
     assert [p[4] for p in S.split("a b c. d e f. g h i.", 4, 0)] == ["sentence", "sentence", "end"]
     assert [p[4] for p in S.split("a b c d e f", 4, 0)] == ["word", "end"]
-    assert len(S.split("x" * 100, 4, 0, max_chars=10)) == 3
+    assert [p[4] for p in S.split("x" * 100, 4, 0, most_chars=10)] == ["character", "character", "end"]
+    assert [p[4] for p in S.split("a b " + "x" * 100 + " c. d e", 4, 0, most_chars=10)] == ["word", "character", "character", "sentence", "end"]
+
+
+def test_text_without_spaces_is_cut_by_characters():
+    text = "第一第二" * 25_000
+    pieces = S.split(text, 100, 10)
+    assert len(pieces) > 4 and max(len(p[7]) for p in pieces) <= 100 * S.MOST_CHARS and "".join(text[p[2] : p[3]] for p in pieces) == text
 
 
 def test_bad_parameters_and_empty():
@@ -41,6 +48,8 @@ def test_bad_parameters_and_empty():
 def test_operator(spark):
     rows = [(1, "w " * 30), (1, "w " * 30), (2, "short"), (3, None), (None, "w " * 30), (4, ""), (5, "w " * 20_000)]
     df = spark.createDataFrame(rows, "ldu_id bigint, content string").withColumn("piece", F.lit(0)).withColumn("_key", F.lit("clash"))
-    got = S.split_oversized(df, 20, 5).groupBy("ldu_id").count().collect()
+    pieces = S.split_oversized(df, 20, 5)
+    assert {r["ldu_id"]: r["text"] for r in S.rebuilt(pieces).collect()} == {1: rows[0][1], 5: rows[-1][1]}
+    got = pieces.groupBy("ldu_id").count().collect()
     assert {r["ldu_id"]: r["count"] for r in got} == {1: 2, 5: 1334}
     assert S.split_oversized(df.limit(0), 20, 5).count() == 0
