@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quirework.functions import text as T
 from quirework.operators.geometry import in_bounds
+from quirework.session import materialize
 
 MAX_TOKENS = 800
 # Patterns of references and of sentences about a table.
@@ -64,6 +69,68 @@ def chunks(ldus: DataFrame, limit: int = MAX_TOKENS, key: str = "ldu_id") -> Dat
     return ldus.filter("content IS NOT NULL").select(key, "chunk_type", F.posexplode(parts).alias("sub_ix", "content")).withColumn("token_count", T.token_count(F.col("content")))
 
 
+def _context(prefix: Column) -> Column:
+    """The line that goes on a list which overflowed; null for a null prefix."""
+    return F.concat(F.lit("[Context: "), prefix, F.lit(" (Continued)]"))
+
+
+_ASCII_TOKEN = re.compile(r"[^ \t\n\x0b\f\r]+")
+
+
+def _carry(limit: int):
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        doc, prefix = None, None
+        for pdf in it:
+            rows = []
+            for d, block, n, line in zip(pdf["doc_id"], pdf["block_id"], pdf["n"], pdf["line"], strict=True):
+                if d != doc:
+                    doc, prefix = d, None
+                carried, prefix = prefix, None
+                if carried is not None:
+                    line = f"[Context: {carried} (Continued)]"
+                    n += len(_ASCII_TOKEN.findall(line))
+                if n > limit:
+                    prefix = line[:50]
+                rows.append((d, block, carried, prefix))
+            yield pd.DataFrame(rows, columns=["doc_id", "block_id", "carried", "own"])
+
+    return run
+
+
+def build_units(blocks: DataFrame, limit: int = MAX_TOKENS, tokenizer: Callable[[Column], Column] = T.token_count) -> DataFrame:
+    """(doc_id, ldu_ix, block_id, sub_ix, chunk_type, parent_section, page_number, content, token_count, content_hash, x0, y0, x1, y1) of blocks (doc_id, page_number, block_id, reading_order, kind, text, box).
+
+    Page by page come figures, tables, text by reading order (ties by block_id); blank text and tables give no unit, a blank figure "[Figure Content]". A header
+    opens section_<number of units before it>. What exceeds limit tokens is cut by its type (figures never); the later parts of a list carry a line with the first 50 characters of its
+    first line, and so does the next list of the file. tokenizer counts the units' token_count; cuts go by white space. Rows without doc_id have no file and are left out.
+    Running numbers go by pages, then over the pages, and only the lists of a file go through one task, as a stream.
+    """
+    own_columns = [c for c in ("doc_id", "page_number", "block_id", "reading_order", "kind", "text", "x0", "y0", "x1", "y1")]
+    b = blocks.select(*own_columns).filter("doc_id IS NOT NULL").withColumn("content", T.strip(F.coalesce("text", F.lit("")))).drop("text")
+    b = b.withColumn("content", F.when((F.col("kind") == "figure") & (F.col("content") == ""), "[Figure Content]").otherwise(F.col("content"))).filter("content <> ''")
+    c, kind = F.col("content"), F.col("kind")
+    b = b.withColumn("chunk_type", F.when(kind == "text", block_type(c)).otherwise(kind)).withColumn("opens", F.coalesce((kind == "text") & T.is_header(c), F.lit(False)))
+    b = b.withColumn("at", F.struct(F.when(kind == "figure", 0).when(kind == "table", 1).otherwise(2).alias("k"), "reading_order", "block_id"))
+    lists = b.filter("chunk_type = 'list'").select("doc_id", "block_id", "page_number", "at", T.token_count(c).alias("n"), F.left(F.split(c, "\n")[0], F.lit(50)).alias("line"))
+    carried = lists.repartition("doc_id").sortWithinPartitions("doc_id", "page_number", "at").select("doc_id", "block_id", "n", "line").mapInPandas(_carry(limit), f"doc_id string, block_id {blocks.schema['block_id'].dataType.simpleString()}, carried string, own string")
+    b = b.join(carried, ["doc_id", "block_id"], "left").withColumn("content", F.coalesce(F.concat(_context(F.col("carried")), F.lit("\n"), c), c))
+    listed = F.transform(split_list(c, limit), lambda x, i: F.when(i > 0, F.coalesce(F.concat(_context(F.col("own")), F.lit("\n"), x), x)).otherwise(x))
+    many = F.when(F.col("chunk_type") == "table", split_table(c, limit)).when(F.col("chunk_type") == "list", listed).otherwise(pack_sentences(c, limit))
+    b = materialize(b.withColumn("parts", F.when((F.col("chunk_type") != "figure") & (T.token_count(c) > limit), many).otherwise(F.array(c))).drop("content", "carried", "own"), "parts")
+    page = Window.partitionBy("doc_id", "page_number").orderBy("at")
+    upto = lambda w, end: w.rowsBetween(Window.unboundedPreceding, end)
+    pages = b.groupBy("doc_id", "page_number").agg(F.sum(F.size("parts")).alias("units"))
+    pages = pages.select("doc_id", "page_number", F.coalesce(F.sum("units").over(upto(Window.partitionBy("doc_id").orderBy("page_number"), -1)), F.lit(0)).alias("base"))
+    b = b.withColumn("before", F.coalesce(F.sum(F.size("parts")).over(upto(page, -1)), F.lit(0))).join(pages, ["doc_id", "page_number"]).withColumn("first", F.col("before") + F.col("base"))
+    opened = F.when(F.col("opens"), F.concat(F.lit("section_"), F.col("first")))
+    heads = b.groupBy("doc_id", "page_number").agg(F.max_by(opened, F.when(F.col("opens"), F.col("at"))).alias("last"))
+    heads = heads.select("doc_id", "page_number", F.last("last", ignorenulls=True).over(upto(Window.partitionBy("doc_id").orderBy("page_number"), -1)).alias("earlier"))
+    b = b.withColumn("here", F.last(opened, ignorenulls=True).over(upto(page, 0))).join(heads, ["doc_id", "page_number"]).withColumn("parent_section", F.coalesce("here", "earlier"))
+    u = b.select("doc_id", "block_id", "chunk_type", "parent_section", "page_number", "x0", "y0", "x1", "y1", "first", F.posexplode("parts").alias("sub_ix", "content"))
+    box = [F.col(x) for x in ("x0", "y0", "x1", "y1")]
+    return u.select("doc_id", (F.col("first") + F.col("sub_ix")).cast("int").alias("ldu_ix"), "block_id", "sub_ix", "chunk_type", "parent_section", "page_number", "content", tokenizer(c).alias("token_count"), T.ldu_hash(c, box, F.col("chunk_type")).alias("content_hash"), *box)
+
+
 def open_sections(ldus: DataFrame) -> DataFrame:
     """ldus with current_section: section_<ldu_ix> of the last header at or before each unit of the file, null before the first."""
     w = Window.partitionBy("doc_id").orderBy("ldu_ix").rowsBetween(Window.unboundedPreceding, 0)

@@ -48,7 +48,7 @@ def current_links(sections: DataFrame) -> DataFrame:
 
 
 def _bucket(node: F.Column | str) -> F.Column:
-    return F.pmod(F.crc32(F.col(node) if isinstance(node, str) else node), F.lit(BUCKETS)).cast("int")
+    return F.conv(F.substring(F.md5(node), 1, 2), 16, 10).cast("int") % BUCKETS
 
 
 def _solve(pdf: pd.DataFrame) -> pd.DataFrame:

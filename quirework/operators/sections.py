@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quirework.functions import text as T
+from quirework.session import materialize
 
 
 def parent_of(section_id: Column) -> Column:
@@ -68,32 +67,33 @@ def current(sections: DataFrame) -> DataFrame:
 
 
 def to_json(tree: DataFrame, titles: DataFrame) -> DataFrame:
-    """(doc_id, json): the sections of each file nested under their parents, from hierarchy rows (grp, node, parent, depth, lft, in_cycle) and titles (doc_id, section_id, title). Rows in a cycle are left out."""
-
-    def nest(rows) -> str:
-        made, roots = {}, []
-        for r in sorted(rows, key=lambda r: r["lft"]):
-            item = made[r["node"]] = {"section_id": r["node"], "title": r["title"], "child_sections": []}
-            (made[r["parent"]]["child_sections"] if r["parent"] in made else roots).append(item)
-        return json.dumps(roots, ensure_ascii=False)
+    """(doc_id, json): the sections of each file nested under their parents, from hierarchy rows (grp, node, depth, lft, in_cycle) and titles (doc_id, section_id, title). Rows in a cycle are left out.
 
+    Each node is written once, in preorder; the difference of two depths tells how many brackets close between them. A file's tree is one value, so its rows come together.
+    """
     t = titles.select(F.col("doc_id").alias("grp"), F.col("section_id").alias("node"), "title")
-    rows = tree.filter("NOT in_cycle").join(t, ["grp", "node"], "left").groupBy(F.col("grp").alias("doc_id")).agg(F.collect_list(F.struct("node", "parent", "lft", "title")).alias("rows"))
-    return rows.select("doc_id", F.udf(nest, "string", useArrow=True)("rows").alias("json"))
+    item = F.regexp_replace(F.to_json(F.struct(F.col("node").alias("section_id"), "title"), {"ignoreNullFields": "false"}), r"\}$", ',"child_sections":[')
+    rows = tree.filter("NOT in_cycle").join(t, ["grp", "node"], "left").groupBy(F.col("grp").alias("doc_id")).agg(F.sort_array(F.collect_list(F.struct("lft", "depth", item.alias("item")))).alias("r"))
+    close = lambda n: F.repeat(F.lit("]}"), n)
+    between = lambda x, i: F.when(i == 0, "").when(x["depth"] > F.col("r")[i - 1]["depth"], "").otherwise(F.concat(close(F.col("r")[i - 1]["depth"] - x["depth"] + 1), F.lit(",")))
+    text = F.array_join(F.transform("r", lambda x, i: F.concat(between(x, i), x["item"])), "")
+    return rows.select("doc_id", F.concat(F.lit("["), text, close(F.element_at("r", -1)["depth"] + 1), F.lit("]")).alias("json"))
 
 
-def from_json(trees: DataFrame, levels: int = 64) -> DataFrame:
-    """(doc_id, section_id, parent_id, title, depth) of nested JSON, a level at a time."""
+def from_json(trees: DataFrame, every: int = 8) -> DataFrame:
+    """(doc_id, section_id, parent_id, title, depth) of nested JSON, a level at a time to the deepest; what is done is written to the shared folder every few levels."""
     item = "array<struct<section_id:string,title:string,child_sections:string>>"
     front = trees.select("doc_id", F.explode(F.from_json("json", item)).alias("s"), F.lit(None).cast("string").alias("parent_id"))
-    out = None
-    for depth in range(levels):
+    out, depth = None, 0
+    while True:
         rows = front.select("doc_id", "s.section_id", "parent_id", "s.title", F.lit(depth).alias("depth"))
         out = rows if out is None else out.unionByName(rows)
         front = front.filter("s.child_sections <> '[]'").select("doc_id", F.explode(F.from_json("s.child_sections", item)).alias("c"), F.col("s.section_id").alias("parent_id")).select("doc_id", F.col("c").alias("s"), "parent_id")
+        depth += 1
+        if depth % every == 0:
+            front, out = materialize(front, "levels"), materialize(out, "levels")
         if front.isEmpty():
-            break
-    return out
+            return out
 
 
 def embedding_text(sections: DataFrame) -> DataFrame:

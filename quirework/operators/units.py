@@ -30,7 +30,8 @@ EDGES = [
     ("m", "km", 0.001, 0.0), ("ft", "m", 0.3048, 0.0), ("mile", "km", 1.609344, 0.0), ("mile", "ft", 5280.0, 0.0),
     ("cm", "m", 0.01, 0.0), ("mm", "m", 0.001, 0.0), ("yd", "ft", 3.0, 0.0), ("in", "cm", 2.54, 0.0),
     ("l", "m3", 0.001, 0.0), ("hl", "l", 100.0, 0.0), ("ML", "m3", 1000.0, 0.0), ("ML", "l", 1e6, 0.0),
-    ("bbl", "l", 158.987, 0.0), ("GL", "ML", 1000.0, 0.0),
+    ("bbl", "l", 158.987, 0.0), ("GL", "ML", 1000.0, 0.0), ("mL", "l", 0.001, 0.0),
+    ("Mt", "kt", 1000.0, 0.0), ("mJ", "kJ", 1e-6, 0.0), ("mW", "W", 0.001, 0.0),
     ("K", "°C", 1.0, -273.15), ("°F", "°C", 5 / 9, -160 / 9), ("°F", "K", 5 / 9, 273.15 - 160 / 9),
     ("ratio", "percent", 100.0, 0.0), ("bps", "percent", 0.01, 0.0), ("per mille", "percent", 0.1, 0.0),
     ("ratio", "bps", 10000.0, 0.0),
@@ -93,6 +94,9 @@ SPELLINGS = {
     "GBP": "gbp £|pounds sterling",
     "KES": "kes",
 }
+# Spellings that mean another unit in this case than in capitals or small letters throughout (250 ml is no
+# megalitre), and their units. They are looked up as written, before all others.
+EXACT = {"ml": "mL", "mL": "mL", "Mg": "t", "mg": "mg", "mW": "mW", "mJ": "mJ", "Mt": "Mt"}
 # Scale words.
 SCALES = {
     "hundred": 1e2, "thousand": 1e3, "thousands": 1e3, "lakh": 1e5, "lakhs": 1e5, "million": 1e6, "millions": 1e6,
@@ -134,6 +138,7 @@ def unit_table(spark: SparkSession, common_units: DataFrame, edges: list[tuple]
     rows = small_rows(common_units.select("quantity", "unit").filter("unit IS NOT NULL").distinct(), MAX_UNITS)
     spelling = {w.strip(): unit for unit, text in SPELLINGS.items() for part in text.split("|") for w in ([part] if " " in part and part.split()[0] in ("metric", "watt", "kilowatt", "megawatt", "gigawatt", "terawatt", "sq", "square", "cu", "cubic", "deg", "degrees", "°", "per", "percentage", "basis", "ethiopian", "us", "pounds") else part.split())}
     spelling |= {unit.lower(): unit for unit in SPELLINGS if unit.lower() not in spelling}
+    spelling |= {f"={s}": unit for s, unit in EXACT.items()}
     target = {spelling.get(r["unit"].strip().lower(), r["unit"]): (r["quantity"], r["unit"]) for r in rows}
     ways = compositions(EDGES if edges is None else edges, list(target))
     data = [(s, u, *(target[ways[u][0]] if u in ways else (None, None)), *(ways[u][1:] if u in ways else (None, None))) for s, u in sorted(spelling.items())]
@@ -202,8 +207,11 @@ def parse_quantities(facts: DataFrame, value: str = "value", unit: str = "unit")
     out = out.withColumns({"_sv": F.coalesce(F.when(F.col("_found").isNotNull(), scale_v), F.lit(1.0)), "_bv": F.coalesce(F.when(F.col("_found").isNotNull(), spell_v), F.lit("")), "_su": F.coalesce(scale_u, F.lit(1.0)), "_bu": F.coalesce(spell_u, F.lit(""))})
     scale = F.when(F.col("_bv") == "", F.col("_sv") * F.col("_su")).when((F.col("_sv") == 1.0) & (F.col("_bu") != ""), F.col("_su")).otherwise(F.col("_sv"))
     value_of = _number(digits)
+    # The unit as it is written where its case tells it apart.
+    written_so = lambda c: F.regexp_extract(F.col(c), rf"(?<!\p{{L}})({'|'.join(EXACT)})(?!\p{{L}})", 1)
+    spelled = F.when(F.col("_bv") != "", F.struct(F.col("_bv").alias("s"), written_so(value).alias("x"))).otherwise(F.struct(F.col("_bu").alias("s"), written_so(unit).alias("x")))
     number = F.when(F.col("_found").isNotNull(), value_of * F.when(negative, -1.0).otherwise(1.0))
-    return out.withColumns({"number": number, "scale": scale, "spelling": F.when(F.col("_bv") != "", F.col("_bv")).otherwise(F.col("_bu"))}).drop("_noted", "_found", "_sv", "_bv", "_su", "_bu")
+    return out.withColumns({"number": number, "scale": scale, "_so": spelled}).withColumn("spelling", F.when((F.col("_so.x") != "") & (F.lower("_so.x") == F.col("_so.s")), F.concat(F.lit("="), F.col("_so.x"))).otherwise(F.col("_so.s"))).drop("_so", "_noted", "_found", "_sv", "_bv", "_su", "_bu")
 
 
 def normal_period(period: Column) -> Column:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from quirework.operators.agent import QUANTITATIVE, QUANTITATIVE_CLI, REFUSAL
 from quirework.operators.triage import LEXICON, STOPWORDS
 
+#: The limit of tokens of the queries that cut units.
+SPLIT_TOKENS = 40
 _B = "b AS (SELECT DISTINCT ON (block_id) * FROM text_blocks)"
 _U = "u AS (SELECT * FROM ldus QUALIFY row_number() OVER (PARTITION BY ldu_id ORDER BY ingested_at DESC) = 1)"
 _P = "p AS (SELECT * FROM profiles QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY profiled_at DESC) = 1)"
@@ -84,11 +87,9 @@ de AS (SELECT *, CASE WHEN ws > 0.95 AND total_chars / pages < 500 AND v < 5 THE
 _TERM = "lower(regexp_replace(query, '\\?+\\s*$', ''))"
 _ASK = f"""WITH {_F}, q AS (SELECT id AS query_id, document_name, 'What is the ' || fact_type || ' ' || string_split(entity, ' ')[1] || '?' AS query FROM facts_ WHERE id % 20 = 0),
 t AS (SELECT query_id, document_name, lower(string_split(regexp_replace(query, '\\?+\\s*$', ''), ' ')[-1]) AS term FROM q),
-h AS (SELECT term, arg_min(f.value, f.id) AS value FROM (SELECT DISTINCT term FROM t) x JOIN facts_ f ON contains(lower(f.entity), x.term) GROUP BY 1),
+h AS (SELECT term, arg_min(f.value, f.id) AS value FROM (SELECT DISTINCT term FROM t) x JOIN facts_ f ON lower(f.entity) LIKE '%' || x.term || '%' GROUP BY 1),
 an AS (SELECT query_id, document_name, t.term, h.value FROM t LEFT JOIN h ON t.term = h.term)
 """
-_Q1 = ["total", "sum", "average", "revenue", "cost", "margin", "%", "$", "q1", "q2", "q3", "q4"]
-_Q2 = ["year", "revenue", "cost", "total", "count", "number", "how many"]
 
 
 def _any(words: list[str]) -> str:
@@ -99,6 +100,57 @@ def _facts(sql: str) -> str:
     return f"WITH {_F} " + sql.replace("FROM facts", "FROM facts_").replace("JOIN facts", "JOIN facts_")
 
 
+# The tree of the current sections: links, then a walk down from the roots; what it does not reach is in a cycle or below one.
+_TREE = f"""WITH RECURSIVE {_S}, claimed AS (SELECT doc_id, child AS section_id, min(section_id) AS claimant FROM (SELECT doc_id, section_id, unnest(child_sections) AS child FROM s) WHERE child IS NOT NULL GROUP BY 1, 2),
+named AS (SELECT s.doc_id, s.section_id, s.title, coalesce(nullif(trim(s.parent_id), ''), c.claimant) AS p FROM s LEFT JOIN claimed c USING (doc_id, section_id) WHERE s.doc_id IS NOT NULL AND s.section_id IS NOT NULL),
+links AS (SELECT n.doc_id, n.section_id, n.title, q.section_id AS parent_id, [format('{{:02d}}', CAST(('0x' || left(md5(n.section_id), 2)) AS INT) % 64), n.section_id] AS k FROM named n LEFT JOIN named q ON q.doc_id = n.doc_id AND q.section_id = n.p),
+walk AS (SELECT doc_id, section_id, title, parent_id, k AS ks, [section_id] AS path FROM links WHERE parent_id IS NULL
+  UNION ALL SELECT l.doc_id, l.section_id, l.title, l.parent_id, w.ks || l.k, w.path || [l.section_id] FROM walk w JOIN links l ON l.doc_id = w.doc_id AND l.parent_id = w.section_id),
+pairs AS (SELECT doc_id, unnest(path) AS ancestor, section_id AS descendant, len(path) AS n, generate_subscripts(path, 1) AS i FROM walk),
+below AS (SELECT doc_id, ancestor AS section_id, count(*) - 1 AS descendants FROM pairs GROUP BY 1, 2),
+tree AS (SELECT w.*, CAST(len(path) - 1 AS INTEGER) AS depth, row_number() OVER (PARTITION BY w.doc_id ORDER BY ks) AS lft, descendants FROM walk w JOIN below USING (doc_id, section_id))
+"""
+# Greedy packing as a fold: chunks done, parts of the open one, their tokens.
+_N = lambda x: tok(x)
+
+
+def _packed(items: str, full: str, kept: str, sep: str, limit: int, head: str = "", head_n: str = "0") -> str:
+    start = f"list_transform({items}, lambda x: {{'c': CAST([] AS VARCHAR[]), 'cur': [x], 'n': {_N('x')}}})"
+    text = f"{head}array_to_string({{0}}.cur, {sep})"
+    rest = "{'c': a.c || [" + text.format("a") + "], 'cur': " + (f"[a.cur[-1], x.cur[1]], 'n': {_N('a.cur[-1]')} + x.n" if kept == "last" else "x.cur, 'n': x.n") + "}"
+    fold = f"list_reduce({start}, lambda a, x: CASE WHEN {full} AND {head_n} + a.n + x.n > {limit} THEN {rest} ELSE {{'c': a.c, 'cur': a.cur || x.cur, 'n': a.n + x.n}} END)"
+    return f"list_transform([{fold}], lambda r: r.c || [{text.format('r')}])[1]"
+
+
+def _parts(c: str, kind: str, limit: int) -> str:
+    lines = f"string_split({_STRIP.format(c)}, chr(10))"
+    head = f"array_to_string({lines}[1:2], chr(10))"
+    table = f"CASE WHEN len({lines}) < 3 THEN [{c}] ELSE {_packed(lines + '[3:]', 'true', 'none', 'chr(10)', limit, head + ' || chr(10) || ', _N(head))} END"
+    items = _packed(f"string_split({c}, chr(10))", _LIST.format(_STRIP.format("x.cur[1]")), "none", "chr(10)", limit)
+    sentences = _packed(rf"string_split(regexp_replace({c}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))", "true", "last", "' '", limit)
+    return f"CASE WHEN {kind} = 'table' THEN {table} WHEN {kind} = 'list' THEN {items} ELSE {sentences} END"
+
+
+_CTX = "'[Context: ' || {0} || ' (Continued)]'"
+_BUILT = f"""WITH RECURSIVE {_B}, kd AS (SELECT doc_id, page_number, block_id, x0, y0, x1, y1, CASE WHEN source_strategy = 'vision' THEN 'figure' WHEN contains(text, '|') THEN 'table' ELSE 'text' END AS kind, {_STRIP.format("coalesce(text, '')")} AS content, block_ix FROM b WHERE doc_id IS NOT NULL),
+ct AS (SELECT * EXCLUDE (content), CASE WHEN kind = 'figure' AND content = '' THEN '[Figure Content]' ELSE content END AS content FROM kd),
+ty AS (SELECT *, CASE WHEN kind <> 'text' THEN kind {_TYPE[5:]} AS chunk_type, kind = 'text' AND {header('content')} AS opens, row_number() OVER (PARTITION BY doc_id ORDER BY page_number, CASE kind WHEN 'figure' THEN 0 WHEN 'table' THEN 1 ELSE 2 END, block_ix, block_id) AS pos FROM ct WHERE content <> ''),
+li AS (SELECT doc_id, block_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k, {tok('content')} AS n, left(string_split(content, chr(10))[1], 50) AS f FROM ty WHERE chunk_type = 'list'),
+st AS (SELECT doc_id, block_id, k, CAST(NULL AS VARCHAR) AS carried, CASE WHEN n > {{limit}} THEN f END AS own FROM li WHERE k = 1
+  UNION ALL SELECT li.doc_id, li.block_id, li.k, st.own, CASE WHEN li.n + coalesce({tok(_CTX.format('st.own'))}, 0) > {{limit}} THEN left(coalesce({_CTX.format('st.own')}, li.f), 50) END FROM st JOIN li ON li.doc_id = st.doc_id AND li.k = st.k + 1),
+cc AS (SELECT ty.* EXCLUDE (content), own, coalesce({_CTX.format('carried')} || chr(10) || content, content) AS content FROM ty LEFT JOIN st USING (doc_id, block_id)),
+pt AS (SELECT *, CASE WHEN chunk_type <> 'figure' AND {tok('content')} > {{limit}} THEN {{parts}} ELSE [content] END AS raw FROM cc),
+fs AS (SELECT *, list_transform(raw, lambda x, i: CASE WHEN i > 1 AND own IS NOT NULL THEN {_CTX.format('own')} || chr(10) || x ELSE x END) AS ps FROM pt),
+ix AS (SELECT *, coalesce(sum(len(ps)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM fs),
+sc AS (SELECT *, last_value(CASE WHEN opens THEN 'section_' || CAST(first AS BIGINT) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS parent_section FROM ix),
+bu AS (SELECT doc_id, CAST(first + generate_subscripts(ps, 1) - 1 AS INTEGER) AS ldu_ix, block_id, chunk_type, parent_section, unnest(ps) AS content, x0, y0, x1, y1 FROM sc)
+"""
+_BUILT = _BUILT.replace("{limit}", str(SPLIT_TOKENS)).replace("{parts}", _parts("content", "chunk_type", SPLIT_TOKENS))
+_REFS_OF = _REFS.split("rf AS", 1)[1]
+_UNITS = r"percent|million|billion|thousand|units|lakh|birr|USD|kg|km"
+_FACT = rf"((?:[\p{{L}}'’-]+\s+){{0,2}})(\d[\d.,]*)\s+({_UNITS})\b"
+
+
 _NB = lambda x, m: f"least(greatest({x} / {m}, 0), 1)"
 
 ORACLE = {
@@ -154,7 +206,7 @@ CASE WHEN contains(content, '(Continued)]') AND NOT contains(content, '[Context:
     "facts_semi_anti": f"WITH {_F} SELECT id, CASE WHEN source_hash IN (SELECT content_hash FROM ldus WHERE content_hash IS NOT NULL) THEN 'found' ELSE 'dangling' END AS source FROM facts_",
     "facts_values": f"WITH {_F} SELECT id, value_num FROM facts_",
     "facts_lookup": _ASK + "SELECT query_id, term, value FROM an",
-    "answers_cited": _ASK + "SELECT query_id, CASE WHEN value IS NOT NULL THEN 'SQL Result: ' || value || chr(10) || chr(10) || 'Sources:' || chr(10) || '[1] ' || coalesce(document_name, 'Unknown') || ' (p.0)' ELSE 'I''m sorry, I cannot verify this answer with source citations.' END AS final_answer FROM an",
+    "answers_cited": _ASK + "SELECT query_id, CASE WHEN value IS NOT NULL THEN 'SQL Result: ' || value || chr(10) || chr(10) || 'Sources:' || chr(10) || '[1] ' || coalesce(document_name, 'Unknown') || ' (p.0)' ELSE '" + REFUSAL.replace("'", "''") + "' END AS final_answer FROM an",
     "page_confidence": f"WITH {_B}, pg AS (SELECT doc_id, page_number, string_agg(text, ' ' ORDER BY block_ix, block_id) AS text, round(avg(CASE WHEN source_strategy = 'vision' THEN 1.0 ELSE 0.0 END), 6) AS ir, count(DISTINCT round(y1 - y0, 2)) AS fc FROM b GROUP BY 1, 2), t AS (SELECT *, length(text) AS chars, {_TOKS.format('text')} AS ws FROM pg), j AS (SELECT *, CASE WHEN len(ws) > 0 THEN len(list_filter(ws, lambda w: {_JUNK})) / len(ws) ELSE 1.0 END AS junk FROM t), s AS (SELECT *, CASE WHEN chars < 100 THEN 0.1 ELSE 1.0 END AS s1 FROM j), s2 AS (SELECT *, CASE WHEN ir > 0.5 AND chars < 50 THEN 0 WHEN ir > 0.5 THEN s1 * 0.5 ELSE s1 END * CASE WHEN fc = 0 AND chars > 0 THEN 0.5 ELSE 1 END * CASE WHEN chars / 484704.0 < 0.0005 AND chars > 0 THEN 0.8 ELSE 1 END AS st FROM s) SELECT doc_id, page_number, round(round(least(st, CASE WHEN junk > 0.3 THEN 0 ELSE 1 - junk END), 6), 5) AS confidence FROM s2",
     "extraction_totals": _TOT + "SELECT doc_id, pages, pages_with_content, CAST(blocks AS BIGINT) AS blocks, CAST(tables AS BIGINT) AS tables, CAST(headers AS BIGINT) AS headers, CAST(chars AS BIGINT) AS chars, round(CASE WHEN blocks = tables AND tables > 0 THEN 0.8 ELSE least(greatest(least(1, 0.5 + blocks / (pages * 50) * 0.4) + CASE WHEN headers / blocks > 0.5 THEN 0.1 ELSE -0.1 END, 0), 1) END, 5) AS layout_confidence, round(least(greatest(0.4 * pages_with_content / pages + 0.3 * CASE WHEN tables > 0 THEN least(1, 0.8 + 0.02 * tables) ELSE 0.5 END + 0.2 * least(1, blocks / (10 * pages)) + 0.092, 0.1), 1), 5) AS ocr_confidence, round(0.5 + CASE WHEN blocks / pages > 2 THEN 0.2 ELSE 0 END + CASE WHEN chars / pages > 100 THEN 0.2 ELSE 0 END, 5) AS vision_confidence FROM tt",
     "extraction_health": _TOT + f", {_P} SELECT doc_id, round(pages / greatest(1, coalesce(page_count, 0)), 6) AS completeness, round(1 - empty_pages / pages, 6) AS content_health, round(least(greatest(pages / greatest(1, coalesce(page_count, 0)) * (1 - empty_pages / pages), 0), 1), 6) AS score, CASE WHEN pages / greatest(1, coalesce(page_count, 0)) < 0.5 OR 1 - empty_pages / pages < 0.5 THEN 'LOW' ELSE 'HEALTHY' END AS flag FROM tt JOIN p USING (doc_id)",
@@ -162,8 +214,26 @@ CASE WHEN contains(content, '(Continued)]') AND NOT contains(content, '[Context:
     "ledger_prefix": "WITH r AS (SELECT event_id, user_id, sum(CAST(round(value, 2) AS DECIMAL(18,2))) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS running FROM events), k AS (SELECT *, min(CASE WHEN running <= 500 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS ok FROM r) SELECT event_id, user_id FROM k WHERE ok = 1",
     "ledger_missing": "SELECT event_id, array_to_string(list_filter(['k', 'status'], lambda x: NOT list_contains(json_keys(props), x)), ',') AS missing FROM events WHERE NOT (list_contains(json_keys(props), 'k') AND list_contains(json_keys(props), 'status'))",
     "ledger_stream": "SELECT date_trunc('day', ts) AS start, event_type AS strategy, count(*) AS attempts, round(sum(value), 4) AS confidence FROM events GROUP BY 1, 2",
-    "query_classify": f"WITH {_U} SELECT ldu_id, {_any(_Q1)} AS engine, {_any(_Q2)} AS cli FROM u",
+    "query_classify": f"WITH {_U} SELECT ldu_id, {_any(QUANTITATIVE)} AS engine, {_any(QUANTITATIVE_CLI)} AS cli FROM u",
     "provenance_links": f"WITH {_U} SELECT ldu_id, coalesce(metadata.document_name, 'Unknown') AS document_name, coalesce(page_refs[1], 1) AS page_number, content_hash, {_SNIP} AS text_snippet FROM u",
+    "p6_found": _TREE + "SELECT doc_id, section_id FROM links ANTI JOIN walk USING (doc_id, section_id)",
+    "p6_hierarchy": _TREE + "SELECT l.doc_id, l.section_id, l.parent_id, path[1] AS root, depth, lft, lft + descendants AS rgt, descendants, array_to_string(path, '/') AS path, t.section_id IS NULL AS in_cycle FROM links l LEFT JOIN tree t ON t.doc_id = l.doc_id AND t.section_id = l.section_id",
+    "p6_descendants": _TREE + "SELECT doc_id, ancestor, descendant, CAST(n - i AS INTEGER) AS distance FROM pairs WHERE i < n",
+    "p6_units": _TREE + ", u AS (SELECT * FROM ldus QUALIFY row_number() OVER (PARTITION BY ldu_id ORDER BY ingested_at DESC) = 1), o AS (SELECT doc_id, parent_section AS section_id, count(*) AS own FROM u WHERE parent_section IS NOT NULL GROUP BY 1, 2), h AS (SELECT l.doc_id, l.section_id, coalesce(own, 0) AS own FROM links l LEFT JOIN o USING (doc_id, section_id)), t AS (SELECT p.doc_id, p.ancestor AS section_id, CAST(sum(own) AS BIGINT) AS with_below FROM pairs p JOIN h ON h.doc_id = p.doc_id AND h.section_id = p.descendant GROUP BY 1, 2) SELECT h.doc_id, h.section_id, own, with_below FROM h LEFT JOIN t USING (doc_id, section_id)",
+    "section_json": _TREE + ", g AS (SELECT *, lag(depth) OVER (PARTITION BY doc_id ORDER BY lft) AS last, row_number() OVER (PARTITION BY doc_id ORDER BY lft DESC) = 1 AS ends FROM tree) SELECT doc_id, '[' || string_agg(CASE WHEN last IS NULL OR depth > last THEN '' ELSE repeat(']}', last - depth + 1) || ',' END || regexp_replace(json_object('section_id', section_id, 'title', title)::VARCHAR, '\\}$', ',\"child_sections\":[') || CASE WHEN ends THEN repeat(']}', depth + 1) ELSE '' END, '' ORDER BY lft) || ']' AS json FROM g GROUP BY 1",
+    "chunks": f"WITH {_U}, k AS (SELECT ldu_id, chunk_type, CASE WHEN {tok('content')} > {SPLIT_TOKENS} THEN {_parts('content', 'chunk_type', SPLIT_TOKENS)} ELSE [content] END AS ps FROM u WHERE content IS NOT NULL), x AS (SELECT ldu_id, chunk_type, CAST(generate_subscripts(ps, 1) - 1 AS INTEGER) AS sub_ix, unnest(ps) AS content FROM k) SELECT *, CAST({tok('content')} AS INTEGER) AS token_count FROM x",
+    "units_built": _BUILT + f"SELECT doc_id, ldu_ix, block_id, chunk_type, parent_section, CAST({tok('content')} AS INTEGER) AS token_count, md5(content) AS content_md5, sha256({_STRIP.format('content')} || '|bbox:[' || " + " || ', ' || ".join(_FT.format(c).replace("bounding_box.", "") for c in ("x0", "y0", "x1", "y1")) + " || ']|type:' || chunk_type) AS content_hash FROM bu",
+    "units_references": _BUILT + ", u AS (SELECT *, doc_id || ':' || ldu_ix AS ldu_id FROM bu), rf AS" + _REFS_OF + "SELECT ldu_id, ref_type, ref_value, target, dangling FROM rs",
+    "table_relations_built": rf"WITH {_U}, t AS (SELECT ldu_id, CASE WHEN ldu_ix % 3 = 0 THEN 'As shown in Table ' ELSE 'Table ' END || ldu_ix || CASE WHEN ldu_ix % 2 = 0 THEN ' illustrates ' ELSE ' and ' END || left(content, 20) AS content FROM u) SELECT ldu_id, 'table_' || lower(regexp_extract(content, '{_RELX}', 1)) AS related_table_id FROM t WHERE regexp_matches(content, '{_RELX}')",
+    "invalid_scaled_boxes": f"WITH {_B}, v AS (SELECT block_id, x0 * 1.2 - 0.05 AS x0, y0 * 1.2 AS y0, CASE WHEN block_ix % 7 = 0 THEN x0 ELSE x1 * 1.2 END AS x1, y1 * 1.2 AS y1 FROM b) SELECT block_id, " + ", ".join(f"round(greatest(0, least(1, {c})), 6) AS {c}" for c in ("x0", "y0", "x1", "y1")) + " FROM v WHERE NOT coalesce(x0 >= 0 AND y0 >= 0 AND x1 <= 1 AND y1 <= 1 AND x0 < x1 AND y0 < y1, false)",
+    "facts_extracted": f"WITH {_U}, h AS (SELECT ldu_id, unnest(regexp_extract_all(content, '{_FACT.replace(chr(39), chr(39) * 2)}', 0)) AS m FROM u) SELECT ldu_id, trim(regexp_replace(regexp_extract(m, '{_FACT.replace(chr(39), chr(39) * 2)}', 1), '\\s+', ' ', 'g')) AS entity, regexp_extract(m, '{_FACT.replace(chr(39), chr(39) * 2)}', 2) AS value, regexp_extract(m, '{_FACT.replace(chr(39), chr(39) * 2)}', 3) AS unit FROM h",
+    "audit_units": rf"WITH {_U}, c AS (SELECT *, string_split(regexp_replace(ltrim(content), '([.!?])\s+([\"“«(]*[\p{{Lu}}\p{{Lo}}])', '\1' || chr(1) || '\2'), chr(1))[1] AS claim FROM u), g AS (SELECT c.ldu_id AS claim_id, c.claim, string_agg(lower(o.content), ' ' ORDER BY lower(o.content)) AS t, count(DISTINCT o.content_hash) AS h FROM c LEFT JOIN u o ON o.doc_id = c.doc_id AND o.ldu_id <> c.ldu_id GROUP BY 1, 2) SELECT claim_id, CASE WHEN contains(t, lower(claim)) THEN 'Verified' ELSE 'Not Found / Unverifiable' END AS status, CAST(CASE WHEN contains(t, lower(claim)) THEN h ELSE 0 END AS INTEGER) AS hashes FROM g".replace('\"', '"'),
+    "semantic_search": rf"""WITH {_U}, w AS (SELECT ldu_id, unnest(list_filter(regexp_split_to_array(lower(coalesce(content, '')), '\s+'), lambda x: x <> '')) AS t FROM u),
+n AS (SELECT ldu_id, CAST(('0x' || left(md5(t), 8)) AS BIGINT) % 64 AS b, count(*) AS n FROM w GROUP BY 1, 2), l AS (SELECT ldu_id, sqrt(sum(n * n)) AS norm FROM n GROUP BY 1),
+v AS (SELECT ldu_id, b, CAST(CAST(n / norm AS FLOAT) AS DOUBLE) AS x FROM n JOIN l USING (ldu_id)), e AS (SELECT u.ldu_id, coalesce(sum(x * x), 0) AS sq FROM u LEFT JOIN v USING (ldu_id) GROUP BY 1),
+dt AS (SELECT q.ldu_id AS q, i.ldu_id AS i, sum(q.x * i.x) AS p FROM v q JOIN v i ON q.b = i.b WHERE q.ldu_id % 20 = 0 GROUP BY 1, 2),
+ds AS (SELECT q.ldu_id AS query_id, i.ldu_id AS item_id, round(greatest(q.sq + i.sq - 2 * coalesce(p, 0), 0), 9) AS distance FROM e q CROSS JOIN e i LEFT JOIN dt ON dt.q = q.ldu_id AND dt.i = i.ldu_id WHERE q.ldu_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, item_id) AS rank FROM ds) SELECT query_id, item_id, round(distance, 5) AS distance, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 2""",
     "audit_claims": f"WITH {_U}, c AS (SELECT * FROM u WHERE ldu_id % 20 = 0), sr AS (SELECT c.ldu_id AS claim_id, n.content_hash, n.content FROM c JOIN u n ON n.doc_id = c.doc_id AND n.ldu_ix = c.ldu_ix + 1 UNION ALL SELECT ldu_id, content_hash, content FROM c WHERE ldu_id % 40 = 0), g AS (SELECT claim_id, string_agg(lower(content), ' ' ORDER BY lower(content)) AS t, count(DISTINCT content_hash) AS h FROM sr GROUP BY 1) SELECT c.ldu_id AS claim_id, CASE WHEN contains(g.t, lower(upper(left(c.content, 30)))) THEN 'Verified' ELSE 'Not Found / Unverifiable' END AS status, CAST(CASE WHEN contains(g.t, lower(upper(left(c.content, 30)))) THEN h ELSE 0 END AS INTEGER) AS hashes FROM c LEFT JOIN g ON g.claim_id = c.ldu_id",
     "density_report": _DENS + "SELECT doc_id, CAST(total_chars AS BIGINT) AS total_chars, pages, " + ", ".join(f"{r4(c)} AS {n}" for c, n in (("hm", "bbox_height_mean"), ("hs", "bbox_height_std"), ("wm", "bbox_width_mean"), ("wsd", "bbox_width_std"), ("ws", "avg_whitespace"), ("v", "avg_vectors"))) + ", round(var, 2) AS page_char_variance, hint FROM de",
     "markdown_report": "WITH l AS (SELECT doc_id, length(coalesce(text, '')) AS chars, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), m AS (SELECT *, list_transform(l, lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')) AS s FROM l), f AS (SELECT *, list_filter(l, lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g') <> '') AS ful FROM m), c AS (SELECT doc_id, chars, CAST(len(list_filter(s, lambda x: starts_with(x, '#'))) AS INTEGER) AS num_headings, CAST(len(list_filter(s, lambda x: starts_with(x, '- ') OR starts_with(x, '* '))) AS INTEGER) AS num_list_markers, CASE WHEN len(ful) > 0 THEN round(list_sum(list_transform(ful, lambda x: length(x))) / len(ful), 4) ELSE 0 END AS avg_line_length, round((len(l) - len(ful)) / len(l), 6) AS empty_line_ratio FROM f) SELECT doc_id, CAST(chars AS INTEGER) AS chars, num_headings, num_list_markers, avg_line_length, empty_line_ratio, array_to_string(list_filter([CASE WHEN chars = 0 THEN 'empty_output' WHEN chars < 500 THEN 'extremely_short_markdown' END, CASE WHEN num_headings = 0 AND chars > 1000 THEN 'layout_flattening' END], lambda x: x IS NOT NULL), ',') AS failure_modes FROM c",

@@ -11,12 +11,11 @@ from pyspark.sql.window import Window
 from quirework.functions import embedding
 from quirework.functions import text as T
 from quirework.operators import agent, chunking, extraction, facts, geometry, hierarchy, reports, retrieval, sections, triage, units
-from quirework.plans.oracle import ORACLE
+from quirework.plans.oracle import ORACLE, SPLIT_TOKENS
 from quirework.session import materialize, table
 from quirework.sources import tables as sources
 from quirework.streaming import ledger
 
-SPLIT_TOKENS = 40
 EXTENT = 25.0
 
 _Q: dict = {}
@@ -78,7 +77,7 @@ def _tree(spark: SparkSession, d: str) -> DataFrame:
 @_query
 def p6_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     """Path, depth, root, preorder range and number of descendants of every section."""
-    return hierarchy.with_paths(materialize(_tree(spark, d), "tree")).withColumnsRenamed({"grp": "doc_id", "node": "section_id", "parent": "parent_id"})
+    return hierarchy.with_paths(materialize(_tree(spark, d), "tree")).withColumn("path", F.array_join("path", "/")).withColumnsRenamed({"grp": "doc_id", "node": "section_id", "parent": "parent_id"})
 
 
 @_query
@@ -182,6 +181,13 @@ def normalize_boxes(spark: SparkSession, d: str) -> DataFrame:
     return b.select("block_id", box.alias("b")).select("block_id", *[F.round(f"b.{c}", 6).alias(c) for c in ("x0", "y0", "x1", "y1")])
 
 
+@_query
+def invalid_scaled_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes that lie over the edge or are turned round once they are scaled, and what is left of them within the page."""
+    b = _blocks(spark, d).select("block_id", (F.col("x0") * 1.2 - 0.05).alias("x0"), (F.col("y0") * 1.2).alias("y0"), F.when(F.col("block_ix") % 7 == 0, F.col("x0")).otherwise(F.col("x1") * 1.2).alias("x1"), (F.col("y1") * 1.2).alias("y1"))
+    return b.filter(~geometry.in_bounds()).select("block_id", *[F.round(T.clamp(F.col(c)), 6).alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
 @_query
 def invalid_boxes(spark: SparkSession, d: str) -> DataFrame:
     return _blocks(spark, d).filter(~geometry.in_bounds()).select("block_id")
@@ -210,6 +216,25 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunks(_ldus(spark, d, "chunk_type", "content"), SPLIT_TOKENS)
 
 
+def _built(spark: SparkSession, d: str) -> DataFrame:
+    """Units of all blocks; vision blocks are figures, blocks with a bar are tables."""
+    kind = F.when(F.col("source_strategy") == "vision", "figure").when(F.col("text").contains("|"), "table").otherwise("text")
+    return chunking.build_units(_blocks(spark, d).withColumn("kind", kind).withColumn("reading_order", F.col("block_ix")), SPLIT_TOKENS)
+
+
+@_query
+def units_built(spark: SparkSession, d: str) -> DataFrame:
+    """The whole way from blocks to units: order, types, sections, cuts, context of lists, hashes."""
+    return _built(spark, d).select("doc_id", "ldu_ix", "block_id", "chunk_type", "parent_section", "token_count", F.md5("content").alias("content_md5"), "content_hash")
+
+
+@_query
+def units_references(spark: SparkSession, d: str) -> DataFrame:
+    """References between the units built of blocks."""
+    u = materialize(_built(spark, d).withColumn("ldu_id", F.concat_ws(":", "doc_id", "ldu_ix")), "built")
+    return chunking.resolve_references(u).select("ldu_id", "ref_type", "ref_value", "target", "dangling")
+
+
 @_query
 def section_assign(spark: SparkSession, d: str) -> DataFrame:
     return chunking.open_sections(_ldus(spark, d, "doc_id", "ldu_ix", "content")).select("ldu_id", "current_section")
@@ -239,6 +264,13 @@ def table_relations(spark: SparkSession, d: str) -> DataFrame:
     return chunking.references(_ldus(spark, d, "doc_id", "ldu_ix", "content")).filter("related_table_id IS NOT NULL").select("ldu_id", "related_table_id")
 
 
+@_query
+def table_relations_built(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences about a table, made of the first words of units: the data have none of their own."""
+    u = _ldus(spark, d, "doc_id", "ldu_ix", "content").withColumn("content", F.concat(F.when(F.col("ldu_ix") % 3 == 0, "As shown in Table ").otherwise("Table "), F.col("ldu_ix"), F.when(F.col("ldu_ix") % 2 == 0, " illustrates ").otherwise(" and "), F.left("content", F.lit(20))))
+    return chunking.references(u).filter("related_table_id IS NOT NULL").select("ldu_id", "related_table_id")
+
+
 @_query
 def dangling_counts(spark: SparkSession, d: str) -> DataFrame:
     r = chunking.resolve_references(_ldus(spark, d, "doc_id", "ldu_ix", "content", "chunk_type"))

@@ -6,6 +6,8 @@ import atexit
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,28 +29,42 @@ def local_session(cores: str = "*", **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a temporary one only where that is unset (local tests)."""
+    """The folder all executors share, from spark.checkpoint.dir; a temporary one only where that is unset and the master is local (tests)."""
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not configured:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         configured = tempfile.mkdtemp(prefix="quirework-")
         sc.setCheckpointDir(configured)
     return configured.rstrip("/")
 
 
 _written: list[str] = []
+_registered: list = []
 
 
-def _clean() -> None:
-    """Removes what this process wrote into the shared folder, if Spark is still there."""
+@contextmanager
+def scope() -> Iterator[None]:
+    """Tables that queries write into the shared folder inside are removed at the end: take their results inside."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        _clean(before)
+
+
+def _clean(first: int = 0) -> None:
+    """Removes what this process wrote into the shared folder (from the first-th table on), if Spark is still there."""
     session = SparkSession.getActiveSession()
     if session is None or session.sparkContext._jsc is None:
         return
     try:
         conf = session.sparkContext._jsc.hadoopConfiguration()
-        for path in _written:
+        for path in _written[first:]:
             p = session._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(conf).delete(p, True)
+        del _written[first:]
     except Exception:  # noqa: BLE001 - the process is ending
         return
 
@@ -59,8 +75,8 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     Cuts the lineage: a lost executor costs a re-read, not a recomputation. Partitioning columns are not kept.
     """
     path = f"{shared_dir(df.sparkSession)}/quirework-{tag}-{uuid.uuid4().hex}"
-    if not _written:
-        atexit.register(_clean)
+    if not _registered:
+        _registered.append(atexit.register(_clean))
     _written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,9 +7,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirework.operators.sections import first_rows
 from quirework.session import shared_dir
 
 
+def upserted(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """What upsert_stream has written to path: the newest row of each key over all batches, the later batch of equal times."""
+    return first_rows(spark.read.parquet(path), [key], [F.desc("at"), F.desc("batch")]).drop("batch")
+
+
 def stream(spark: SparkSession, path: str) -> DataFrame:
     """A parquet file, or the files that arrive in a folder, as a stream."""
     schema = spark.read.parquet(path).schema
@@ -35,10 +41,9 @@ def run_once(out: DataFrame, name: str, mode: str = "complete") -> DataFrame:
 
 
 def upsert_stream(events: DataFrame, path: str, checkpoint: str, key: str):
-    """Writes each batch of a stream to path with the newest row of each key within the batch (foreachBatch)."""
-    from quirework.operators.sections import first_rows
+    """Writes the newest row of each key in each batch of a stream under path (foreachBatch), a folder a batch, so that a batch written twice counts once. upserted() reads one row a key."""
 
-    def write(batch: DataFrame, _: int) -> None:
-        first_rows(batch, [key], [F.desc("at")]).write.mode("append").parquet(path)
+    def write(batch: DataFrame, number: int) -> None:
+        first_rows(batch, [key], [F.desc("at")]).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -81,6 +81,72 @@ def test_index_tree_and_json(spark):
     text = sections.to_json(tree, built)
     back = {(r["section_id"], r["parent_id"], r["depth"]) for r in sections.from_json(text).collect()}
     assert back == {("section_1", None, 0), ("section_1.1", "section_1", 1)}
+    deep = spark.createDataFrame([("d", f"s{i}", f"s{i - 1}" if i else None, f'a "quoted" \\ title {i}' if i % 2 else None) for i in range(70)], "grp string, node string, parent string, title string")
+    text = sections.to_json(hierarchy.hierarchy(deep.drop("title")), deep.select(F.col("grp").alias("doc_id"), F.col("node").alias("section_id"), "title"))
+    assert {(r["section_id"], r["parent_id"], r["title"], r["depth"]) for r in sections.from_json(text).collect()} == {(r["node"], r["parent"], r["title"], int(r["node"][1:])) for r in deep.collect()}
+
+
+BLOCKS = "doc_id string, page_number int, block_id bigint, reading_order int, kind string, text string, x0 double, y0 double, x1 double, y1 double"
+
+
+def built_by_hand(rows, limit):
+    """One file at a time, in the order of the definition."""
+    out = {}
+    for doc in {r[0] for r in rows}:
+        units, section, carried = [], None, None
+        for _, _, b, _, kind, text, *_ in sorted((r for r in rows if r[0] == doc), key=lambda r: (r[1], ["figure", "table", "text"].index(r[4]), r[3], r[2])):
+            content, own = (text or "").strip(), None
+            if kind == "figure":
+                content = content or "[Figure Content]"
+            if not content:
+                continue
+            typed = kind
+            if kind == "text":
+                if len(content) < 100 and content.istitle() and not content.endswith("."):
+                    typed, section = "header", f"section_{len(units)}"
+                if content[0] in "-*" and content[1:2] == " ":
+                    typed = "list"
+                    if carried:
+                        content = f"[Context: {carried} (Continued)]\n{content}"
+                    carried = None
+            parts = [content]
+            if kind != "figure" and len(content.split()) > limit:
+                if typed == "list":
+                    own = carried = content.split("\n")[0][:50]
+                    parts = packed(content.split("\n"), limit)
+                    parts = [p if i == 0 else f"[Context: {own} (Continued)]\n{p}" for i, p in enumerate(parts)]
+                else:
+                    continue
+            units += [(doc, len(units) + i, b, typed, section, p) for i, p in enumerate(parts)]
+        out[doc] = units
+    return {u for x in out.values() for u in x}
+
+
+def packed(lines, limit):
+    out, cur = [], []
+    for x in lines:
+        if cur and x.strip()[:2] in ("- ", "* ") and sum(len(y.split()) for y in [*cur, x]) > limit:
+            out.append("\n".join(cur))
+            cur = []
+        cur.append(x)
+    return [*out, "\n".join(cur)]
+
+
+def test_units_of_blocks(spark):
+    """Order of figures, tables and text, sections by the number of units before, the context of lists that overflow, also from one list to the next."""
+    import random
+
+    rng, rows = random.Random(6), []
+    for i in range(120):
+        kind = rng.choice(["text"] * 6 + ["figure", "table"])
+        item = lambda: "- " + " ".join(rng.choices(["alpha", "beta", "gamma"], k=rng.randint(1, 4)))
+        text = rng.choice([None, " ", "Annual Report", "plain words here", "\n".join(item() for _ in range(rng.randint(1, 4))), "\n".join(item() for _ in range(rng.randint(3, 6)))]) if kind == "text" else rng.choice(["x | y", "", None])
+        rows.append((rng.choice("ab"), rng.randint(1, 3), i, rng.randint(0, 5), kind, text, 0.1, 0.1, 0.5, 0.5))
+    df = spark.createDataFrame(rows, BLOCKS).withColumn("content", F.lit("clash"))
+    got = chunking.build_units(df, 8).collect()
+    assert {(r["doc_id"], r["ldu_ix"], r["block_id"], r["chunk_type"], r["parent_section"], r["content"]) for r in got} == built_by_hand(rows, 8)
+    assert len(got) == len({(r["doc_id"], r["ldu_ix"]) for r in got}) and any("(Continued)" in r["content"] for r in got)
+    assert chunking.build_units(df.limit(0), 8).count() == 0
 
 
 def test_navigate_and_search(spark):

@@ -101,7 +101,9 @@ def test_stream(spark, tmp_path):
     got = ledger.run_once(ledger.attempts_by_window(ledger.stream(spark, str(tmp_path / "e"))), "t_stream").collect()
     assert [(r["strategy"], r["attempts"], r["confidence"]) for r in got] == [("A", 2, 0.75)]
     ledger.upsert_stream(ledger.stream(spark, str(tmp_path / "e")), str(tmp_path / "o"), str(tmp_path / "c"), "strategy").awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "o")).count() == 2
+    spark.createDataFrame([("2024-01-01 05:00:00", "A", 0.75), ("2023-01-01 05:00:00", "B", 0.1)], "at string, strategy string, confidence double").withColumn("at", F.to_timestamp("at")).write.mode("append").parquet(str(tmp_path / "e"))
+    ledger.upsert_stream(ledger.stream(spark, str(tmp_path / "e")), str(tmp_path / "o"), str(tmp_path / "c"), "strategy").awaitTermination()
+    assert {(r["strategy"], r["confidence"]) for r in ledger.upserted(spark, str(tmp_path / "o"), "strategy").collect()} == {("A", 0.75), ("B", 0.1)}
 
 
 def test_session_helpers(spark):
@@ -125,6 +127,14 @@ def test_ask(spark, data):
     assert answer["classification"] == "conceptual" and answer["final_answer"].count("[") >= 2 and "Sources" in answer["final_answer"]
 
 
+def test_lookup_with_wildcards(spark):
+    """LIKE as written: % and _ in a term are wildcards, a backslash is none, case does not count; short terms and terms of wildcards only are looked up too."""
+    f = spark.createDataFrame([(3, "Total Loan", "a"), (1, "big loaf", "b"), (2, "x", "c"), (5, "back\\slash", "d"), (4, None, "e"), (6, "", "f"), (7, "Total Loan", "g")], "id int, entity string, value string").withColumn("term", F.lit("clash"))
+    want = {"lo_n": "a", "LOA": "b", "x?": "c", "%": "b", "___": "b", "t%l": "a", "k\\s": "d", "zzz": None, "_": "b", "??": None, "_" * 14: None}
+    q = spark.createDataFrame([*[(k, f"what is {k}") for k in want], ("none", None)], "query_id string, query string")
+    assert {r["query_id"]: r["value"] for r in facts.lookup(f, q).collect()} == want | {"none": None}
+
+
 def test_extracted_facts(spark):
     df = spark.createDataFrame([(1, "costs reached 93.2 million; 36.6 percent in June"), (2, None)], "ldu_id int, content string")
     got = [tuple(r) for r in facts.extract(df).collect()]

@@ -11,7 +11,7 @@ CASES = [
     ("9.993,53 lakh birr", None, 999353000.0), ("~434'700 m²", None, 43.47), ("5.50328E+8", "Br", 550328000.0), ("8 245,4 lakh birr", None, 824540000.0),
     ("0,032928", "'000 ha", 32.928), ("19,430", "ETB '000", 19430000.0), ("(235.487) lakh birr", "lakh birr", -23548700.0), ("-112,707 thousand birr", "birr", -112707000.0),
     ("0.96438 million ETB", "million ETB", 964380.0), ("4,359.5 thousand", "Br", 4359500.0), ("160.3 Fahrenheit", "Fahrenheit", (160.3 - 32) * 5 / 9), ("300", "K", 26.85),
-    ("0.4185", "KM2", 41.85), ("1,187.3 [r]", "bps", 11.873), ("97,532", "kg", 97532.0), ("82,4428", "ML", 82442.8), ("1", "bbl", 0.158987), ("3.6", "GJ", 1000.0), ("~ETB 0.5 mn", None, 500000.0),
+    ("0.4185", "KM2", 41.85), ("1,187.3 [r]", "bps", 11.873), ("97,532", "kg", 97532.0), ("82,4428", "ML", 82442.8), ("1", "bbl", 0.158987), ("250 ml", None, 0.00025), ("250", "mL", 0.00025), ("250", "ML", 250_000.0), ("3 Mg", None, 3000.0), ("3", "mg", 3e-6), ("5 mW", "mW", 5e-6), ("5", "MW", 5000.0), ("2 Mt", "", 2e9), ("2", "MT", 2000.0), ("2 mt", None, 2000.0), ("3.6", "GJ", 1000.0), ("~ETB 0.5 mn", None, 500000.0),
     ("0.5559 (ratio)", None, 55.59), ("9.9%", "", 9.9), ("see note b", "kg", None), ("..", "kg", None), ("12", "USD", None), ("12", "", None), (None, "kg", None), ("12", None, None), ("", "", None),
 ]
 
