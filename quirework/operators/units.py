@@ -207,11 +207,12 @@ def parse_quantities(facts: DataFrame, value: str = "value", unit: str = "unit")
     out = out.withColumns({"_sv": F.coalesce(F.when(F.col("_found").isNotNull(), scale_v), F.lit(1.0)), "_bv": F.coalesce(F.when(F.col("_found").isNotNull(), spell_v), F.lit("")), "_su": F.coalesce(scale_u, F.lit(1.0)), "_bu": F.coalesce(spell_u, F.lit(""))})
     scale = F.when(F.col("_bv") == "", F.col("_sv") * F.col("_su")).when((F.col("_sv") == 1.0) & (F.col("_bu") != ""), F.col("_su")).otherwise(F.col("_sv"))
     value_of = _number(digits)
-    # The unit as it is written where its case tells it apart.
-    written_so = lambda c: F.regexp_extract(F.col(c), rf"(?<!\p{{L}})({'|'.join(EXACT)})(?!\p{{L}})", 1)
-    spelled = F.when(F.col("_bv") != "", F.struct(F.col("_bv").alias("s"), written_so(value).alias("x"))).otherwise(F.struct(F.col("_bu").alias("s"), written_so(unit).alias("x")))
+    # The unit as it is written, for the few whose case tells them apart.
+    in_value = F.col("_bv") != ""
+    spelled = F.when(in_value, F.col("_bv")).otherwise(F.col("_bu"))
+    so = F.when(F.col("_sp").isin(sorted({s.lower() for s in EXACT})), F.nullif(F.regexp_extract(F.when(in_value, F.col(value)).otherwise(F.col(unit)), rf"(?<!\p{{L}})({'|'.join(EXACT)})(?!\p{{L}})", 1), F.lit("")))
     number = F.when(F.col("_found").isNotNull(), value_of * F.when(negative, -1.0).otherwise(1.0))
-    return out.withColumns({"number": number, "scale": scale, "_so": spelled}).withColumn("spelling", F.when((F.col("_so.x") != "") & (F.lower("_so.x") == F.col("_so.s")), F.concat(F.lit("="), F.col("_so.x"))).otherwise(F.col("_so.s"))).drop("_so", "_noted", "_found", "_sv", "_bv", "_su", "_bu")
+    return out.withColumns({"number": number, "scale": scale, "_sp": spelled}).withColumn("spelling", F.coalesce(F.concat(F.lit("="), so), F.col("_sp"))).drop("_sp", "_noted", "_found", "_sv", "_bv", "_su", "_bu")
 
 
 def normal_period(period: Column) -> Column:
