@@ -126,7 +126,23 @@ frequent AS (SELECT u.source, n, count(DISTINCT doc_id) AS files, any_value(sour
   GROUP BY u.source, n HAVING count(DISTINCT doc_id) >= 3 AND count(DISTINCT doc_id) >= 0.2 * any_value(source_files))
 """
 
+# Distinct three-word sequences of every text of thirty words; a word is a run of letters or digits in lower case.
+_SHINGLES = r"""
+WITH t AS (SELECT ldu_id, any_value(regexp_extract_all(lower(content), '[\p{L}\p{N}]+')) AS w FROM ldus WHERE chunk_type = 'text' AND content IS NOT NULL GROUP BY ldu_id),
+s AS (SELECT DISTINCT ldu_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM t WHERE len(w) >= 30),
+n AS (SELECT ldu_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.ldu_id AS a, b.ldu_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.ldu_id < b.ldu_id GROUP BY 1, 2),
+p AS (SELECT a, b FROM c JOIN n x ON x.ldu_id = a JOIN n y ON y.ldu_id = b WHERE c >= 0.5 * (x.n + y.n - c))
+"""
+
 ORACLE = {
+    "p3_found": _SHINGLES + "SELECT a AS ldu_id_a, b AS ldu_id_b FROM p",
+    "p9_found": r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL), i AS (SELECT item_id, regexp_extract_all(lower(item_text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE item_id IS NOT NULL),
+r AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS g FROM d WHERE len(w) >= 12), q AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS g FROM i WHERE len(w) >= 12)
+SELECT DISTINCT doc_id, item_id FROM r JOIN q USING (g)""",
+    "p4_cleaned": _LINES + """, gone AS (SELECT DISTINCT block_id, line_no FROM usable u JOIN frequent f ON u.source = f.source AND u.n = f.n), g AS (SELECT block_id, list(line_no) AS l FROM gone GROUP BY 1),
+o AS (SELECT DISTINCT ON (block_id) doc_id, page_number, block_ix, block_id, text, string_split(text, chr(10)) AS all_ FROM text_blocks), k AS (SELECT o.*, l, list_filter(all_, lambda x, i: l IS NULL OR NOT list_contains(l, i - 1)) AS left_ FROM o LEFT JOIN g USING (block_id))
+SELECT doc_id, page_number, block_ix, block_id, CASE WHEN text IS NOT NULL THEN array_to_string(left_, chr(10)) END AS text, CAST(coalesce(len(l), 0) AS INTEGER) AS lines_removed FROM k WHERE text IS NULL OR len(left_) > 0""",
     "p1_found": r"SELECT DISTINCT ldu_id FROM ldus WHERE len(regexp_extract_all(content, '\S+')) > (SELECT max(setting_value) FROM pipeline_config WHERE setting = 'MAX_LDU_TOKENS')",
     "p1_rebuilt": r"SELECT ldu_id, md5(max(content)) AS text_md5, true AS right FROM ldus WHERE len(regexp_extract_all(content, '\S+')) > (SELECT max(setting_value) FROM pipeline_config WHERE setting = 'MAX_LDU_TOKENS') GROUP BY ldu_id",
     "p4_found": _LINES + "SELECT DISTINCT block_id, CAST(line_no AS INTEGER) AS line_no FROM usable u JOIN frequent f ON u.source = f.source AND u.n = f.n",
