@@ -336,15 +336,17 @@ def drawn(documents: DataFrame, text: str = "text", key: str = "doc_id", sample:
     Scripts are told of the POOL * sample least hashes, of which a count of the rows gives the share. A script is that of the first letter, or
     one without terminators anywhere in the text.
     """
-    some = documents.select(F.xxhash64(key).alias("h"), F.col(text).alias("t")).filter(F.length("t") > 0)
+    h = F.shiftrightunsigned(F.xxhash64(key), 1)
+    every = documents.select(h.alias("h"), F.col(text).alias("t")).filter(F.length("t") > 0)
     rows = documents.select(key).count()
-    if rows > POOL * sample:
-        some = some.filter(F.pmod("h", F.lit(1 << 30)) < int((1 << 30) * POOL * sample / rows))
+    # Hashes are even: a share of them holds about that share of the rows.
+    share = lambda n: every if n >= rows else every.filter(F.col("h") < int(n / rows * (1 << 63)))
+    some = share(POOL * sample)
     first = F.regexp_extract("t", r"\p{L}", 0)
     bare = [(lo, hi, name) for lo, hi, name in _RANGES if name in "TOMR"]
     kind = F.coalesce(*[F.when(F.col("t").rlike(f"[{chr(lo)}-{chr(hi)}]"), name) for lo, hi, name in bare], *[F.when(first.between(chr(lo), chr(hi)), name) for lo, hi, name in _RANGES], F.lit("x"))
     each = some.withColumn("script", kind).withColumn("rn", F.row_number().over(Window.partitionBy("script").orderBy("h", "t"))).filter(F.col("rn") <= sample_script)
-    found = {(r["h"], r["t"]) for r in some.orderBy("h", "t").limit(sample).collect()} | {(r["h"], r["t"]) for r in each.select("h", "t").collect()}
+    found = {(r["h"], r["t"]) for r in share(2 * sample).orderBy("h", "t").limit(sample).collect()} | {(r["h"], r["t"]) for r in each.select("h", "t").collect()}
     return [t for _, t in sorted(found)]
 
 
