@@ -15,6 +15,7 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,10 +41,13 @@ def encoder(path: str):
 
 
 def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, tokens); null and empty texts have 0 tokens. Rows with a null key are left out."""
+    """(key, tokens); null and empty texts have 0 tokens. Rows with a null key are left out. The vocabulary is read where the driver is and travels to the executors."""
+    name = Path(vocabulary).name
+    if not Path(SparkFiles.getRootDirectory(), name).exists():
+        documents.sparkSession.sparkContext.addFile(vocabulary)
 
     def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(vocabulary)
+        enc = encoder(SparkFiles.get(name))
         for pdf in it:
             yield pd.DataFrame({"_key": pdf["_key"], "tokens": [len(enc.encode_ordinary(t)) if t else 0 for t in pdf["_text"]]})
 
