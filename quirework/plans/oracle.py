@@ -234,7 +234,7 @@ v AS (SELECT ldu_id, b, CAST(CAST(n / norm AS FLOAT) AS DOUBLE) AS x FROM n JOIN
 dt AS (SELECT q.ldu_id AS q, i.ldu_id AS i, sum(q.x * i.x) AS p FROM v q JOIN v i ON q.b = i.b WHERE q.ldu_id % 20 = 0 GROUP BY 1, 2),
 ds AS (SELECT q.ldu_id AS query_id, i.ldu_id AS item_id, round(greatest(q.sq + i.sq - 2 * coalesce(p, 0), 0), 9) AS distance FROM e q CROSS JOIN e i LEFT JOIN dt ON dt.q = q.ldu_id AND dt.i = i.ldu_id WHERE q.ldu_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, item_id) AS rank FROM ds) SELECT query_id, item_id, round(distance, 5) AS distance, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 2""",
-    "audit_claims": f"WITH {_U}, c AS (SELECT * FROM u WHERE ldu_id % 20 = 0), sr AS (SELECT c.ldu_id AS claim_id, n.content_hash, n.content FROM c JOIN u n ON n.doc_id = c.doc_id AND n.ldu_ix = c.ldu_ix + 1 UNION ALL SELECT ldu_id, content_hash, content FROM c WHERE ldu_id % 40 = 0), g AS (SELECT claim_id, string_agg(lower(content), ' ' ORDER BY lower(content)) AS t, count(DISTINCT content_hash) AS h FROM sr GROUP BY 1) SELECT c.ldu_id AS claim_id, CASE WHEN contains(g.t, lower(upper(left(c.content, 30)))) THEN 'Verified' ELSE 'Not Found / Unverifiable' END AS status, CAST(CASE WHEN contains(g.t, lower(upper(left(c.content, 30)))) THEN h ELSE 0 END AS INTEGER) AS hashes FROM c LEFT JOIN g ON g.claim_id = c.ldu_id",
+    "audit_claims": rf"WITH {_U}, c AS (SELECT *, string_split(regexp_replace(ltrim(content), '([.!?])\s+([\"“«(]*[\p{{Lu}}\p{{Lo}}])', '\1' || chr(1) || '\2'), chr(1))[1] AS claim FROM u), g AS (SELECT c.ldu_id AS claim_id, c.claim, string_agg(lower(o.content), ' ' ORDER BY lower(o.content)) AS t, count(DISTINCT o.content_hash) AS h FROM c LEFT JOIN u o ON o.doc_id = c.doc_id AND o.ldu_ix IN (c.ldu_ix - 1, c.ldu_ix + 1) GROUP BY 1, 2) SELECT claim_id, CASE WHEN contains(t, lower(upper(claim))) THEN 'Verified' ELSE 'Not Found / Unverifiable' END AS status, CAST(CASE WHEN contains(t, lower(upper(claim))) THEN h ELSE 0 END AS INTEGER) AS hashes FROM g".replace('\"', '"'),
     "density_report": _DENS + "SELECT doc_id, CAST(total_chars AS BIGINT) AS total_chars, pages, " + ", ".join(f"{r4(c)} AS {n}" for c, n in (("hm", "bbox_height_mean"), ("hs", "bbox_height_std"), ("wm", "bbox_width_mean"), ("wsd", "bbox_width_std"), ("ws", "avg_whitespace"), ("v", "avg_vectors"))) + ", round(var, 2) AS page_char_variance, hint FROM de",
     "markdown_report": "WITH l AS (SELECT doc_id, length(coalesce(text, '')) AS chars, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), m AS (SELECT *, list_transform(l, lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')) AS s FROM l), f AS (SELECT *, list_filter(l, lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g') <> '') AS ful FROM m), c AS (SELECT doc_id, chars, CAST(len(list_filter(s, lambda x: starts_with(x, '#'))) AS INTEGER) AS num_headings, CAST(len(list_filter(s, lambda x: starts_with(x, '- ') OR starts_with(x, '* '))) AS INTEGER) AS num_list_markers, CASE WHEN len(ful) > 0 THEN round(list_sum(list_transform(ful, lambda x: length(x))) / len(ful), 4) ELSE 0 END AS avg_line_length, round((len(l) - len(ful)) / len(l), 6) AS empty_line_ratio FROM f) SELECT doc_id, CAST(chars AS INTEGER) AS chars, num_headings, num_list_markers, avg_line_length, empty_line_ratio, array_to_string(list_filter([CASE WHEN chars = 0 THEN 'empty_output' WHEN chars < 500 THEN 'extremely_short_markdown' END, CASE WHEN num_headings = 0 AND chars > 1000 THEN 'layout_flattening' END], lambda x: x IS NOT NULL), ',') AS failure_modes FROM c",
     "compare_report": _DENS + f", {_U}, uu AS (SELECT doc_id, sum(length(content)) AS b FROM u GROUP BY 1) SELECT doc_id, CAST(b - total_chars AS BIGINT) AS difference, round(CASE WHEN total_chars > 0 THEN b / total_chars ELSE 0 END, 2) AS ratio, array_to_string(list_filter([CASE WHEN b / total_chars < 0.5 AND total_chars > 1000 THEN 'severe_text_loss' WHEN b / total_chars > 1.5 AND total_chars > 1000 THEN 'potential_hallucination_or_over_segmentation' END, CASE WHEN hint = 'likely_scanned' AND b / total_chars < 0.2 THEN 'scanned_pdf_failure' END], lambda x: x IS NOT NULL), ',') AS issues FROM de JOIN uu USING (doc_id)",

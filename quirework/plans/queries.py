@@ -484,24 +484,25 @@ def answers_cited(spark: SparkSession, d: str) -> DataFrame:
     return agent.synthesize(s).select("query_id", "final_answer")
 
 
+def _claims(spark: SparkSession, d: str) -> DataFrame:
+    """Every unit with its whole first sentence. A sentence ends before a letter that is no small one, so that p.m. and e.g. end none."""
+    u = _ldus(spark, d, "doc_id", "ldu_ix", "content", "content_hash")
+    return u.withColumn("claim", F.split(F.ltrim("content"), r"(?<=[.!?])\s+(?=[\"“«(]*[\p{Lu}\p{Lo}])", 2)[0]).withColumnRenamed("ldu_id", "claim_id")
+
+
 @_query
 def audit_claims(spark: SparkSession, d: str) -> DataFrame:
-    """A sample in the form its SQL fixes: the first 30 characters of every twentieth unit, against the next one of the file and half of them against themselves. audit_units audits all."""
-    u = _ldus(spark, d, "doc_id", "ldu_ix", "content", "content_hash").filter("ldu_id % 20 = 0")
-    claims = u.select(F.col("ldu_id").alias("claim_id"), F.upper(F.left(F.col("content"), F.lit(30))).alias("claim"))
-    every = _ldus(spark, d, "doc_id", "ldu_ix", "content", "content_hash")
-    src = u.select(F.col("ldu_id").alias("claim_id"), "doc_id", (F.col("ldu_ix") + 1).alias("ldu_ix")).join(every, ["doc_id", "ldu_ix"]).select("claim_id", "content_hash", "content")
-    src = src.unionByName(u.filter("ldu_id % 40 = 0").select(F.col("ldu_id").alias("claim_id"), "content_hash", "content"))
-    return agent.audit(claims, src).select("claim_id", "status", F.size("provenance_hashes").alias("hashes"))
+    """The first sentence of every unit, in capitals, against the units before and after it in the file."""
+    u = _claims(spark, d)
+    near = u.select("claim_id", "doc_id", F.explode(F.array(F.col("ldu_ix") - 1, F.col("ldu_ix") + 1)).alias("ldu_ix"))
+    src = near.join(u.select("doc_id", "ldu_ix", "content_hash", "content"), ["doc_id", "ldu_ix"]).select("claim_id", "content_hash", "content")
+    return agent.audit(u.select("claim_id", F.upper("claim").alias("claim")), src).select("claim_id", "status", F.size("provenance_hashes").alias("hashes"))
 
 
 @_query
 def audit_units(spark: SparkSession, d: str) -> DataFrame:
     """The whole first sentence of every unit as a claim, against all other units of its file (its own text would verify any claim)."""
-    u = _ldus(spark, d, "doc_id", "content", "content_hash")
-    # A sentence ends before a letter that is no small one, so that p.m. and e.g. end none.
-    claim = F.split(F.ltrim("content"), r"(?<=[.!?])\s+(?=[\"“«(]*[\p{Lu}\p{Lo}])", 2)[0]
-    units = u.select(F.col("ldu_id").alias("claim_id"), "doc_id", claim.alias("claim"), "content", "content_hash")
+    units = _claims(spark, d).select("claim_id", "doc_id", "claim", "content", "content_hash")
     return agent.audit_within(units, "doc_id").select("claim_id", "status", F.size("provenance_hashes").alias("hashes"))
 
 
