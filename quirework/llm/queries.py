@@ -137,6 +137,8 @@ p AS (SELECT a, b FROM c JOIN n x ON x.ldu_id = a JOIN n y ON y.ldu_id = b WHERE
 
 ORACLE = {
     "p3_found": _SHINGLES + "SELECT a AS ldu_id_a, b AS ldu_id_b FROM p",
+    "p3_groups": _SHINGLES.replace("WITH t AS", "WITH RECURSIVE t AS") + """, k AS (SELECT ldu_id, md5(string_agg(g, '|' ORDER BY g)) AS k FROM s GROUP BY 1), c1 AS (SELECT ldu_id, min(ldu_id) OVER (PARTITION BY k) AS class_id FROM k), e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), walk AS (SELECT a, b FROM e UNION SELECT w.a, e.b FROM walk w JOIN e ON e.a = w.b)
+SELECT ldu_id, class_id, (SELECT count(*) FROM e WHERE e.a = ldu_id) AS links, least(ldu_id, coalesce((SELECT min(b) FROM walk WHERE walk.a = ldu_id), ldu_id)) AS group_id FROM c1""",
     "p9_found": r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL), i AS (SELECT item_id, regexp_extract_all(lower(item_text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE item_id IS NOT NULL),
 r AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS g FROM d WHERE len(w) >= 12), q AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS g FROM i WHERE len(w) >= 12)
 SELECT DISTINCT doc_id, item_id FROM r JOIN q USING (g)""",
