@@ -183,6 +183,11 @@ def languages(documents: DataFrame, cfg: TriageConfig = TriageConfig(), key: str
     return t.select(key, F.when(known, names[F.col("r")[0]["i"]]).otherwise("unknown").alias("language"), F.when(known, F.round(-F.col("r")[0]["s"] / F.col("total"), 6)).otherwise(0.0).alias("language_confidence"))
 
 
+def flags(runs: DataFrame) -> DataFrame:
+    """(doc_id, encrypted, form) of runs (doc_id, is_encrypted, origin_type): a file that could not be opened in any of its runs (null) counts as encrypted; form where a run found fillable fields."""
+    return runs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_or(F.coalesce("is_encrypted", F.lit(True))).alias("encrypted"), F.bool_or(F.coalesce(F.col("origin_type").contains("form"), F.lit(False))).alias("form"))
+
+
 def page_warnings(stats: DataFrame) -> DataFrame:
     """(doc_id, warnings): empty pages and pages with text but no ink, in page order."""
     w = F.filter(F.array(F.when(F.col("char_density") == 0, F.concat(F.lit("page "), F.col("page_ix"), F.lit(": empty"))), F.when((F.col("char_density") > 0) & (F.col("ink_density") < 0.001), F.concat(F.lit("page "), F.col("page_ix"), F.lit(": text without ink")))), lambda x: x.isNotNull())

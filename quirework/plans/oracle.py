@@ -208,6 +208,7 @@ CASE WHEN contains(content, '(Continued)]') AND NOT contains(content, '[Context:
     "facts_lookup": _ASK + "SELECT query_id, term, value FROM an",
     "answers_cited": _ASK + "SELECT query_id, CASE WHEN value IS NOT NULL THEN 'SQL Result: ' || value || chr(10) || chr(10) || 'Sources:' || chr(10) || '[1] ' || coalesce(document_name, 'Unknown') || ' (p.0)' ELSE '" + REFUSAL.replace("'", "''") + "' END AS final_answer FROM an",
     "page_confidence": f"WITH {_B}, pg AS (SELECT doc_id, page_number, string_agg(text, ' ' ORDER BY block_ix, block_id) AS text, round(avg(CASE WHEN source_strategy = 'vision' THEN 1.0 ELSE 0.0 END), 6) AS ir, count(DISTINCT round(y1 - y0, 2)) AS fc FROM b GROUP BY 1, 2), t AS (SELECT *, length(text) AS chars, {_TOKS.format('text')} AS ws FROM pg), j AS (SELECT *, CASE WHEN len(ws) > 0 THEN len(list_filter(ws, lambda w: {_JUNK})) / len(ws) ELSE 1.0 END AS junk FROM t), s AS (SELECT *, CASE WHEN chars < 100 THEN 0.1 ELSE 1.0 END AS s1 FROM j), s2 AS (SELECT *, CASE WHEN ir > 0.5 AND chars < 50 THEN 0 WHEN ir > 0.5 THEN s1 * 0.5 ELSE s1 END * CASE WHEN fc = 0 AND chars > 0 THEN 0.5 ELSE 1 END * CASE WHEN chars / 484704.0 < 0.0005 AND chars > 0 THEN 0.8 ELSE 1 END AS st FROM s) SELECT doc_id, page_number, round(round(least(st, CASE WHEN junk > 0.3 THEN 0 ELSE 1 - junk END), 6), 5) AS confidence FROM s2",
+    "document_confidence": f"WITH {_B}, pg AS (SELECT doc_id, page_number, string_agg(text, ' ' ORDER BY block_ix, block_id) AS text, round(avg(CASE WHEN source_strategy = 'vision' THEN 1.0 ELSE 0.0 END), 6) AS ir, count(DISTINCT round(y1 - y0, 2)) AS fc FROM b GROUP BY 1, 2), t AS (SELECT *, length(text) AS chars, {_TOKS.format('text')} AS ws FROM pg), j AS (SELECT *, CASE WHEN len(ws) > 0 THEN len(list_filter(ws, lambda w: {_JUNK})) / len(ws) ELSE 1.0 END AS junk FROM t), s AS (SELECT *, CASE WHEN chars < 100 THEN 0.1 ELSE 1.0 END AS s1 FROM j), s2 AS (SELECT *, CASE WHEN ir > 0.5 AND chars < 50 THEN 0 WHEN ir > 0.5 THEN s1 * 0.5 ELSE s1 END * CASE WHEN fc = 0 AND chars > 0 THEN 0.5 ELSE 1 END * CASE WHEN chars / 484704.0 < 0.0005 AND chars > 0 THEN 0.8 ELSE 1 END AS st FROM s) SELECT doc_id, round(min(round(least(st, CASE WHEN junk > 0.3 THEN 0 ELSE 1 - junk END), 6)), 5) AS confidence, bool_and(round(least(st, CASE WHEN junk > 0.3 THEN 0 ELSE 1 - junk END), 6) > 0) AS all_healthy FROM s2 GROUP BY 1",
     "extraction_totals": _TOT + "SELECT doc_id, pages, pages_with_content, CAST(blocks AS BIGINT) AS blocks, CAST(tables AS BIGINT) AS tables, CAST(headers AS BIGINT) AS headers, CAST(chars AS BIGINT) AS chars, round(CASE WHEN blocks = tables AND tables > 0 THEN 0.8 ELSE least(greatest(least(1, 0.5 + blocks / (pages * 50) * 0.4) + CASE WHEN headers / blocks > 0.5 THEN 0.1 ELSE -0.1 END, 0), 1) END, 5) AS layout_confidence, round(least(greatest(0.4 * pages_with_content / pages + 0.3 * CASE WHEN tables > 0 THEN least(1, 0.8 + 0.02 * tables) ELSE 0.5 END + 0.2 * least(1, blocks / (10 * pages)) + 0.092, 0.1), 1), 5) AS ocr_confidence, round(0.5 + CASE WHEN blocks / pages > 2 THEN 0.2 ELSE 0 END + CASE WHEN chars / pages > 100 THEN 0.2 ELSE 0 END, 5) AS vision_confidence FROM tt",
     "extraction_health": _TOT + f", {_P} SELECT doc_id, round(pages / greatest(1, coalesce(page_count, 0)), 6) AS completeness, round(1 - empty_pages / pages, 6) AS content_health, round(least(greatest(pages / greatest(1, coalesce(page_count, 0)) * (1 - empty_pages / pages), 0), 1), 6) AS score, CASE WHEN pages / greatest(1, coalesce(page_count, 0)) < 0.5 OR 1 - empty_pages / pages < 0.5 THEN 'LOW' ELSE 'HEALTHY' END AS flag FROM tt JOIN p USING (doc_id)",
     "ledger_attempts": "SELECT user_id AS file_hash, event_type AS strategy, count(*) AS attempts FROM events GROUP BY 1, 2",
@@ -227,6 +228,10 @@ CASE WHEN contains(content, '(Continued)]') AND NOT contains(content, '[Context:
     "table_relations_built": rf"WITH {_U}, t AS (SELECT ldu_id, CASE WHEN ldu_ix % 3 = 0 THEN 'As shown in Table ' ELSE 'Table ' END || ldu_ix || CASE WHEN ldu_ix % 2 = 0 THEN ' illustrates ' ELSE ' and ' END || left(content, 20) AS content FROM u) SELECT ldu_id, 'table_' || lower(regexp_extract(content, '{_RELX}', 1)) AS related_table_id FROM t WHERE regexp_matches(content, '{_RELX}')",
     "invalid_scaled_boxes": f"WITH {_B}, v AS (SELECT block_id, x0 * 1.2 - 0.05 AS x0, y0 * 1.2 AS y0, CASE WHEN block_ix % 7 = 0 THEN x0 ELSE x1 * 1.2 END AS x1, y1 * 1.2 AS y1 FROM b) SELECT block_id, " + ", ".join(f"round(greatest(0, least(1, {c})), 6) AS {c}" for c in ("x0", "y0", "x1", "y1")) + " FROM v WHERE NOT coalesce(x0 >= 0 AND y0 >= 0 AND x1 <= 1 AND y1 <= 1 AND x0 < x1 AND y0 < y1, false)",
     "facts_extracted": f"WITH {_U}, h AS (SELECT ldu_id, unnest(regexp_extract_all(content, '{_FACT.replace(chr(39), chr(39) * 2)}', 0)) AS m FROM u) SELECT ldu_id, trim(regexp_replace(regexp_extract(m, '{_FACT.replace(chr(39), chr(39) * 2)}', 1), '\\s+', ' ', 'g')) AS entity, regexp_extract(m, '{_FACT.replace(chr(39), chr(39) * 2)}', 2) AS value, regexp_extract(m, '{_FACT.replace(chr(39), chr(39) * 2)}', 3) AS unit FROM h",
+    "profile_flags": "SELECT doc_id, bool_or(coalesce(is_encrypted, true)) AS encrypted, bool_or(coalesce(contains(origin_type, 'form'), false)) AS form FROM profiles WHERE doc_id IS NOT NULL GROUP BY 1",
+    "section_summaries": _SEC.format(sec="nullif(parent_section, '')") + r"SELECT doc_id, section_id, md5(array_to_string(string_split(regexp_replace(content, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))[1:2], ' ')) AS summary_md5 FROM g",
+    "facts_ingested": f"WITH {_F}, m AS (SELECT max(id) AS top FROM facts_), n AS (SELECT fact_type, count(*) AS n FROM facts_ GROUP BY 1) SELECT fact_type, CASE WHEN fact_type = 'metric' THEN 2 ELSE 1 END * n AS facts, CASE WHEN fact_type = 'metric' THEN 2 ELSE 1 END * n AS ids, CASE WHEN fact_type = 'metric' THEN top + n ELSE (SELECT max(id) FROM facts_ f WHERE f.fact_type IS NOT DISTINCT FROM n.fact_type) END AS last FROM n, m",
+    "vector_metadata": f"WITH {_U} SELECT ldu_id, concat_ws(';', 'chunk_type=' || chunk_type, 'content_hash=' || content_hash, 'parent_section=' || parent_section) AS metadata FROM u",
     "audit_units": rf"WITH {_U}, c AS (SELECT *, string_split(regexp_replace(ltrim(content), '([.!?])\s+([\"“«(]*[\p{{Lu}}\p{{Lo}}])', '\1' || chr(1) || '\2'), chr(1))[1] AS claim FROM u), g AS (SELECT c.ldu_id AS claim_id, c.claim, string_agg(lower(o.content), ' ' ORDER BY lower(o.content)) AS t, count(DISTINCT o.content_hash) AS h FROM c LEFT JOIN u o ON o.doc_id = c.doc_id AND o.ldu_id <> c.ldu_id GROUP BY 1, 2) SELECT claim_id, CASE WHEN contains(t, lower(claim)) THEN 'Verified' ELSE 'Not Found / Unverifiable' END AS status, CAST(CASE WHEN contains(t, lower(claim)) THEN h ELSE 0 END AS INTEGER) AS hashes FROM g".replace('\"', '"'),
     "semantic_search": rf"""WITH {_U}, w AS (SELECT ldu_id, unnest(list_filter(regexp_split_to_array(lower(coalesce(content, '')), '\s+'), lambda x: x <> '')) AS t FROM u),
 n AS (SELECT ldu_id, CAST(('0x' || left(md5(t), 8)) AS BIGINT) % 64 AS b, count(*) AS n FROM w GROUP BY 1, 2), l AS (SELECT ldu_id, sqrt(sum(n * n)) AS norm FROM n GROUP BY 1),

@@ -134,6 +134,11 @@ def origin_documents(spark: SparkSession, d: str) -> DataFrame:
     return o.select("doc_id", "origin_type", *[F.round(c, 4).alias(c) for c in ("origin_confidence", "avg_whitespace", "avg_ink", "avg_image")])
 
 
+@_query
+def profile_flags(spark: SparkSession, d: str) -> DataFrame:
+    return triage.flags(table(spark, d, "profiles"))
+
+
 @_query
 def page_warnings(spark: SparkSession, d: str) -> DataFrame:
     w = triage.page_warnings(triage.page_stats(_boxes(spark, d)))
@@ -299,6 +304,13 @@ def section_index_global(spark: SparkSession, d: str) -> DataFrame:
     return s.select("doc_id", "section_id", "units", F.md5("summary").alias("summary_md5"))
 
 
+@_query
+def section_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """Sections of the units with summaries of the default provider, their first two sentences."""
+    s = sections.summarize(sections.build(_ldus(spark, d, "doc_id", "ldu_ix", "content", "chunk_type", "page_refs", "parent_section")))
+    return s.select("doc_id", "section_id", F.md5("summary").alias("summary_md5"))
+
+
 @_query
 def section_navigate(spark: SparkSession, d: str) -> DataFrame:
     """A top-k report."""
@@ -391,6 +403,14 @@ def facts_semi_anti(spark: SparkSession, d: str) -> DataFrame:
     return there.unionByName(f.join(u, "source_hash", "left_anti").select("id", F.lit("dangling").alias("source")))
 
 
+@_query
+def facts_ingested(spark: SparkSession, d: str) -> DataFrame:
+    """The facts and, with new ids after them, those of type metric once more."""
+    f = _facts(spark, d)
+    out = facts.ingest(f, f.filter("fact_type = 'metric'").drop("id"))
+    return out.groupBy("fact_type").agg(F.count("*").alias("facts"), F.count_distinct("id").alias("ids"), F.max("id").alias("last"))
+
+
 @_query
 def facts_values(spark: SparkSession, d: str) -> DataFrame:
     return facts.typed(_facts(spark, d)).select("id", "value_num")
@@ -409,12 +429,22 @@ def facts_lookup(spark: SparkSession, d: str) -> DataFrame:
 # Extraction quality and ledger
 
 
-@_query
-def page_confidence(spark: SparkSession, d: str) -> DataFrame:
+def _page_confidence(spark: SparkSession, d: str) -> DataFrame:
     b = _blocks(spark, d)
     p = b.groupBy("doc_id", "page_number").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_ix", "block_id", "text"))), lambda x: x["text"]), " ").alias("text"), F.round(F.avg((F.col("source_strategy") == "vision").cast("double")), 6).alias("image_ratio"), F.countDistinct(F.round(F.col("y1") - F.col("y0"), 2)).alias("font_count"))
     p = p.withColumn("char_density", F.length("text") / 484704.0)
-    return extraction.page_confidence(p).select("doc_id", "page_number", F.round("confidence", 5).alias("confidence"))
+    return extraction.page_confidence(p)
+
+
+@_query
+def page_confidence(spark: SparkSession, d: str) -> DataFrame:
+    return _page_confidence(spark, d).select("doc_id", "page_number", F.round("confidence", 5).alias("confidence"))
+
+
+@_query
+def document_confidence(spark: SparkSession, d: str) -> DataFrame:
+    """The least confidence of the pages of every file, and whether all have some."""
+    return extraction.document_confidence(_page_confidence(spark, d)).select("doc_id", F.round("confidence", 5).alias("confidence"), "all_healthy")
 
 
 def _totals(spark: SparkSession, d: str) -> DataFrame:
@@ -562,6 +592,14 @@ def page_units(spark: SparkSession, d: str) -> DataFrame:
     return u.select("ldu_id", F.try_element_at("page_refs", F.lit(1)).alias("first_page"), third.alias("third"), pick.alias("picked"))
 
 
+@_query
+def vector_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """What of the metadata goes with a vector: fields that are not null."""
+    u = _ldus(spark, d, "chunk_type", "parent_section", "content_hash")
+    m = T.sanitized(F.create_map(F.lit("chunk_type"), "chunk_type", F.lit("parent_section"), "parent_section", F.lit("content_hash"), "content_hash"))
+    return u.select("ldu_id", F.array_join(F.transform(F.sort_array(F.map_keys(m)), lambda k: F.concat(k, F.lit("="), m[k])), ";").alias("metadata"))
+
+
 @_query
 def vector_upsert(spark: SparkSession, d: str) -> DataFrame:
     """Units by content hash: a second delivery of some replaces the first."""
