@@ -16,10 +16,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirework.session import materialize, spread
+from quirework.session import broadcast_if_small, materialize, spread
 
 # What is printed and what is read for it.
 CONFUSIONS = {("o", "0"), ("l", "1"), ("s", "5"), ("b", "8"), ("g", "9"), ("a", "@"), ("i", "!"), ("i", "í"), ("e", "c"), ("t", "f"), ("y", "v"), ("n", "ri"), ("u", "ii"), ("d", "cl"), ("h", "li"), ("m", "rn"), ("i", "l"), ("i", "1"), ("w", "vv"), ("z", "2")}
@@ -383,21 +383,22 @@ def _continued(recs: DataFrame, unsure: DataFrame, headers: DataFrame) -> DataFr
             yield pd.DataFrame(out, columns=["kind", "id", "doc_id", "place", "start", "cuts"]).astype({"place": "Int32"})
 
     seen = rows.mapInPandas(look, "kind string, id bigint, doc_id string, place int, start string, cuts array<struct<a:string,b:string>>")
-    return following(materialize(seen, "starts"), "start").select("kind", "id", "next", F.explode("cuts").alias("c")).select("kind", "id", "c.a", F.coalesce("c.b", "next").alias("b"))
+    return following(materialize(seen, "starts"), "start", F.size("cuts") > 0).select("kind", "id", "next", F.explode("cuts").alias("c")).select("kind", "id", "c.a", F.coalesce("c.b", "next").alias("b"))
 
 
-def following(rows: DataFrame, value: str, span: int = 64) -> DataFrame:
-    """rows (kind, id, doc_id, place) with next: the first value that is not null after each row in the order of place, then id, within its file; rows without place come last.
+def following(rows: DataFrame, value: str, wanted: Column, span: int = 64) -> DataFrame:
+    """The wanted rows of rows (kind, id, doc_id, place) with next: the first value that is not null after each row in the order of place, then id, within its file; rows without place come last, and wanted rows without doc_id are left out.
 
-    In stretches of span places: within each, then over the stretches, so that a file of any size is never one window.
+    In stretches of span places: within each that has a wanted row, then over the stretches, so that a file of any size is never one window.
     """
     at = F.coalesce(F.col("place").cast("bigint"), F.col("id"))
-    placed = rows.withColumn("_part", F.struct(F.col("place").isNull().alias("last"), F.floor(at / span).alias("n"))).withColumn("_at", F.struct(at.alias("at"), "id"))
+    placed = rows.withColumn("_part", F.struct(F.col("place").isNull().alias("last"), F.floor(at / span).alias("n"))).withColumns({"_at": F.struct(at.alias("at"), "id"), "_want": F.coalesce(wanted, F.lit(False))})
+    parts = broadcast_if_small(placed.filter("_want").select("kind", "doc_id", "_part").distinct(), 200_000)
     back = lambda key, order: Window.partitionBy(*key).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
-    within = placed.withColumn("_near", F.last(value, ignorenulls=True).over(back(["kind", "doc_id", "_part"], ["_at"])))
+    within = placed.join(parts, ["kind", "doc_id", "_part"], "left_semi").withColumn("_near", F.last(value, ignorenulls=True).over(back(["kind", "doc_id", "_part"], ["_at"])))
     heads = placed.groupBy("kind", "doc_id", "_part").agg(F.min_by(value, F.when(F.col(value).isNotNull(), F.col("_at"))).alias("_head"))
     heads = heads.withColumn("_far", F.last("_head", ignorenulls=True).over(back(["kind", "doc_id"], ["_part"]))).drop("_head")
-    return within.join(heads, ["kind", "doc_id", "_part"], "left").withColumn("next", F.when(F.col("doc_id").isNotNull(), F.coalesce("_near", "_far"))).drop("_part", "_at", "_near", "_far")
+    return within.filter("_want").join(heads, ["kind", "doc_id", "_part"], "left").withColumn("next", F.when(F.col("doc_id").isNotNull(), F.coalesce("_near", "_far"))).drop("_part", "_at", "_near", "_far", "_want")
 
 
 def _lines(found: DataFrame, least_pages: int, least_files: int, least_share: float) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -543,7 +544,7 @@ def repaired(blocks: DataFrame, ldus: DataFrame) -> DataFrame:
     mended = materialize(work.select("kind", "id", "doc_id", "place", "page", "text", "running", "fixes").mapInPandas(mend, "kind string, id bigint, doc_id string, place int, page int, text string").filter("text <> ''"), "mended")
     open_end = divided.filter("b IS NULL").select("kind", "id").distinct().withColumn("cut", F.lit(True))
     firsts = mended.join(open_end, ["kind", "id"], "left").select("kind", "id", "doc_id", "place", F.struct(F.col("id").alias("to"), F.regexp_extract("text", r"^(\w+)", 1).alias("part")).alias("first"), (F.col("cut") & F.col("text").rlike(r"\w[-­‐]$")).alias("cut"))
-    nxt = following(firsts, "first").filter("cut").select("kind", F.col("id").alias("from"), "next.to", "next.part").filter("part <> ''")
+    nxt = following(materialize(firsts, "firsts"), "first", F.col("cut")).select("kind", F.col("id").alias("from"), "next.to", "next.part").filter("part <> ''")
     mended = mended.join(nxt.select("kind", F.col("from").alias("id"), "part"), ["kind", "id"], "left").join(nxt.groupBy("kind", F.col("to").alias("id")).agg(F.max("part").alias("gone")), ["kind", "id"], "left")
     text = F.when(F.col("part").isNotNull(), F.concat(F.regexp_replace("text", r"[-­‐]$", ""), "part")).otherwise(F.col("text"))
     text = F.when(F.col("gone").isNotNull(), F.ltrim(F.substring(text, F.length("gone") + 1, F.length(text)))).otherwise(text)
